@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,8 +34,24 @@ def local_session(app: str = "shelfmark", cores: str = "*", **conf: str) -> Spar
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Let the executors' Python import this package, once per context: Spark's own file server hands it out."""
+    context = spark.sparkContext
+    if getattr(context, "_shelfmark_shipped", False):
+        return
+    root, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as archive:
+        for path in sorted(root.rglob("*.py")):
+            archive.write(path, path.relative_to(root.parent))
+    folder = tempfile.mkdtemp(prefix="shelfmark-")
+    (Path(folder) / "shelfmark.zip").write_bytes(packed.getvalue())
+    context.addPyFile(f"{folder}/shelfmark.zip")
+    context._shelfmark_shipped = True
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table `name` of a data folder; a file and a directory of parts read alike."""
+    ship(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
