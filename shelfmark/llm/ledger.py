@@ -9,37 +9,16 @@ generation of each bucket counts, so a lost executor or a failed batch leaves th
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfmark.functions.normalize import composed
 from shelfmark.functions.text import letters_digits
 from shelfmark.session import scratch_path
 
 SALTS = 16
 
 
-def composed(df: DataFrame, columns: list[str]) -> DataFrame:
-    """`df` with the given text columns in composed form (NFC).
-
-    Only rows that hold a combining mark go through Python; all others stay in the JVM.
-    """
-    marked = F.lit(False)
-    for c in columns:
-        marked = marked | F.coalesce(F.col(c).rlike(r"\p{M}"), F.lit(False))
-
-    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for c in columns:
-                batch[c] = [unicodedata.normalize("NFC", v) if isinstance(v, str) else None for v in batch[c]]
-            yield batch
-
-    return df.where(~marked).unionByName(df.where(marked).mapInPandas(compose, df.schema))
-
-
 def canonical_key(columns: list[str]) -> Column:
     """The fields of a record without formatting, in an order that does not depend on the columns.
 
