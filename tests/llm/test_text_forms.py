@@ -29,7 +29,7 @@ def test_sound_text_stays(model, text):
     "text, plain",
     [
         ("Ｇｏｌｄｅｎ　Ｌａｎｔｅｒｎ", "Golden Lantern"), ("𝖦𝗈𝗅𝖽𝖾𝗇 Song", "Golden Song"), ("Gol​den﻿", "Golden"), ("‏Golden\xa0Lantern ", "Golden Lantern"), ("Château", "Château"), ("Eﬆación", "Estación"),
-        ("Gоldеn", "Golden"), ("Медный кoлoкoл", "Медный колокол"), ("Sοng", "Song"), ("Сеverный", "Сеverный"), ("ﾋﾞﾙの影", "ビルの影"), ("", ""), ("  ", ""), ("👩‍🎤", "👩‍🎤"), ("сосо Song", "сосо Song"),
+        ("Gоldеn", "Golden"), ("Медный кoлoкoл", "Медный колокол"), ("Sοng", "Song"), ("Сеfерный", "Сеfерный"), ("ﾋﾞﾙの影", "ビルの影"), ("", ""), ("  ", ""), ("👩‍🎤", "👩‍🎤"), ("сосо Song", "сосо Song"),
     ],
 )
 def test_plain_text(model, text, plain):
@@ -72,6 +72,7 @@ def test_double_encoding_lost_text_and_cleaned_spaces(model):
     assert judge(twice, model, Mixture.flat())[1] == "Château"
     assert judge("Ch�teau", model, Mixture.flat())[:2] == (LOST, "")
     assert judge("Å edÃ½ kÅ¯Åˆ", model, Mixture.flat())[1] == "Šedý kůň"
+    assert judge("ChÃ¢\u200bteau\xad", model, Mixture.flat())[1] == "Château"
     assert judge("", model, Mixture.flat())[0] == SOUND
 
 
@@ -80,7 +81,7 @@ def cells(spark, texts):
 
 
 def test_restore_cells(spark):
-    texts = [("a", t) for t in SOUND_TEXTS * 20] + [("a", "ChÃ¢teau Ã‰toile"), ("a", "ChÃ¢teau Ã‰toile"), (None, "W¹¿ Ksiê¿yc"), ("b", "Kr�dla"), ("b", None), ("b", ""), ("b", "é" * 30_000)]
+    texts = [("a", t) for t in SOUND_TEXTS * 20] + [("a", "ChÃ¢teau Ã‰toile"), ("a", "ChÃ¢teau Ã‰toile"), (None, "W¹¿ Ksiê¿yc"), ("b", "Kr�dla"), ("b", None), ("b", ""), ("b", "Château Étoile " * 3000)]
     got = {(r["source"], r["cell"]): (r["swap"], r["restored"]) for r in restore_cells(cells(spark, texts), "source", "cell").collect()}
     assert got[("a", "ChÃ¢teau Ã‰toile")] == ("cp1252>utf-8", "Château Étoile")
     assert got[("b", "Kr�dla")] == (LOST, "")
