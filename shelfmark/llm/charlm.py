@@ -97,6 +97,13 @@ class BigramModel:
         counts[PAIRS:] += np.bincount(letter, minlength=LETTERS)
         return cls(counts)
 
+    def without(self, counts: dict[int, float]) -> BigramModel:
+        """The model less some counts, by bucket."""
+        left = np.concatenate([self.pairs, self.letters])
+        at = np.fromiter(counts, dtype=np.int64, count=len(counts))
+        left[at] = np.maximum(left[at] - np.fromiter(counts.values(), dtype=np.float64, count=len(counts)), 0.0)
+        return BigramModel(left)
+
     def log_pairs(self, c: np.ndarray) -> np.ndarray:
         """The log probability of each step of a sequence of classes."""
         pair, letter = buckets(c[:-1], c[1:])

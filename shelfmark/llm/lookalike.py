@@ -11,28 +11,21 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.charlm import CLASSES, EDGE, BigramModel
+from shelfmark.llm.charlm import CLASSES, BigramModel
 from shelfmark.llm.mojibake import SOUND, SUSPECT, Mixture, judge
+from shelfmark.llm.scripts import SCRIPTS, WORD, options, script_of
 
-SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")
-# Letters that look alike, in the order Latin, Cyrillic, Greek; a space where a script has none.
-LOOK_ALIKE = (
-    "AАΑ", "BВΒ", "CСϹ", "EЕΕ", "GԌ ", "HНΗ", "IІΙ", "JЈϳ", "KКΚ", "MМΜ", "N Ν", "OОΟ", "PРΡ", "QԚ ", "SЅ ", "TТΤ", "VѴ ", "WԜ ", "XХΧ", "YУΥ", "YҮΥ", "Z Ζ",
-    "aаα", "cсϲ", "dԁ ", "eеε", "gԍ ", "hһ ", "iіι", "jјϳ", "kкκ", "lӏ ", "n η", "oоο", "pрρ", "qԛ ", "rг ", "sѕ ", "tтτ", "u υ", "vѵν", "wԝω", "xхχ", "yуγ", "yү ", "bьβ", "mм ", "ïї ", " ПΠ", " ФΦ", " ГΓ", " лλ",
-)
 IGNORABLE = re.compile("[\xad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0e\ufeff\ufff9-\ufffb\U000e0000-\U000e0fff]")
 #: A joiner between pictographs is part of a picture.
 PICTURE_JOINER = re.compile("(?<=[\U0001f300-\U0001faff\u2600-\u27bf\ufe0f])\u200d(?=[\U0001f300-\U0001faff\u2600-\u27bf])")
 WIDE = re.compile("[\uff01-\uffee\ufb00-\ufb06\U0001d400-\U0001d7ff]+")
 SPACES = re.compile("[\t\n\x0b\x0c\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])+")
 #: What makes a cell worth reading: for Java, so that clean cells never leave the JVM.
 DOUBTFUL = (
     r"[\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{180b}-\x{180f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{fe00}-\x{fe0e}\x{feff}\x{fff9}-\x{fffb}\x{e0000}-\x{e0fff}]"
@@ -41,40 +34,6 @@ DOUBTFUL = (
 )
 
 
-@lru_cache(maxsize=4096)
-def script_of(letter: str) -> str | None:
-    """LATIN, CYRILLIC or GREEK; None for any other letter."""
-    name = unicodedata.name(letter, "")
-    return next((s for s in SCRIPTS if name.startswith(s)), None)
-
-
-def _alternatives() -> dict[str, dict[str, str]]:
-    out: dict[str, dict[str, str]] = {}
-    for row in LOOK_ALIKE:
-        letters = [(script_of(c), c) for c in row if c != " "]
-        for script, letter in letters:
-            for other, twin in letters:
-                if other != script:
-                    out.setdefault(letter, {}).setdefault(other, twin)
-    return out
-
-
-ALTERNATIVES = _alternatives()
-
-
-@lru_cache(maxsize=65536)
-def options(letter: str, script: str) -> tuple[str, ...]:
-    """The forms that a letter can take in a script: itself if it is of that script, else its look-alikes there."""
-    if script_of(letter) in (script, None):
-        return (letter,)
-    base = unicodedata.normalize("NFD", letter)
-    twin = ALTERNATIVES.get(letter, {}).get(script)
-    out = [twin] if twin else []
-    if len(base) > 1 and (bare := ALTERNATIVES.get(base[0], {}).get(script)):
-        out.append(unicodedata.normalize("NFC", bare + base[1:]))
-    return tuple(out)
-
-
 def one_script(word: str, model: BigramModel) -> str:
     """A word with all its letters in one script: the best path through its lattice of look-alikes.
 

@@ -5,8 +5,9 @@ import random
 import pytest
 
 from shelfmark.llm.charlm import BigramModel
-from shelfmark.llm.lookalike import LOOK_ALIKE, is_doubtful, plain_cells, plain_text, script_of
+from shelfmark.llm.lookalike import is_doubtful, plain_cells, plain_text
 from shelfmark.llm.mojibake import LOST, SOUND, Mixture, judge, restore_cells
+from shelfmark.llm.scripts import LOOK_ALIKE, script_of
 
 SOUND_TEXTS = [
     "Golden Lantern Song", "Kühle Nächte über den Dächern", "Château Étoile", "Último tren Jardín", "Šedý kůň Tichá řeka", "Żaglówka Księżyc Ścieżka", "Северный ветер", "Медный колокол Письмо", "Παλιό σπίτι", "Χαμένο γράμμα",
