@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators.packed import PackedOptions, explode_packed, protected_phrases, score_delimiters
 from shelfmark.operators.units import ratings_as_stars
+from shelfmark.plans import training_sql
 from shelfmark.session import table
 
 
@@ -35,4 +36,4 @@ def p5_delimiters(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p3_found": p3_found, "p5_found": p5_found, "p5_delimiters": p5_delimiters}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"p3_found": training_sql.units(), "p5_found": training_sql.packed()}

@@ -22,12 +22,12 @@ class NotASnapshot(ValueError):
 
 
 def snapshot_lines(rows: DataFrame) -> DataFrame:
-    """SNAPSHOT rows as lines in the order of paths: path, line."""
+    """SNAPSHOT rows as lines: path, line."""
     cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rating = F.coalesce(F.format_string("%.2f", "rating"), F.lit(""))
     rating = F.when(F.col("rating").isNull(), "").otherwise(rating)
     line = F.concat_ws("\t", escaped_cell(F.col("path")), cell("size"), cell("mtime"), cell("track"), rating, escaped_cell(cell("genre")), cell("year"), cell("rg"))
-    return rows.select("path", line.alias("line")).orderBy("path")
+    return rows.select("path", line.alias("line"))
 
 
 def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
@@ -54,12 +54,12 @@ def parse_map(lines: DataFrame) -> DataFrame:
 
 
 def map_lines(built: DataFrame) -> DataFrame:
-    """The lines of a genre map from `build_map` rows, in the order of names: display, line. Compilations are comments."""
+    """The lines of a genre map from `build_map` rows: display, line. Compilations are comments."""
     genres = F.split("genres", "\t")
     line = F.when(F.col("excluded"), F.concat(F.lit("# "), tsv_field(F.col("display")), F.lit(": EXCLUDED (compilation)"))).otherwise(
         F.concat_ws("\t", tsv_field(F.col("display")), F.when(F.col("n_genres") > 0, F.array_join(F.transform(genres, tsv_field), "\t")))
     )
-    return built.select("display", line.alias("line")).orderBy(F.lower("display"), "display")
+    return built.select("display", line.alias("line"))
 
 
 def parse_manifest(lines: DataFrame) -> DataFrame:
@@ -80,9 +80,12 @@ def parse_loudness(lines: DataFrame, group: list[str]) -> DataFrame:
     return body.select(*group, cell("filename").alias("filename"), cell("loudness").try_cast("double").alias("loudness"), F.coalesce(F.upper(cell("clipping")).isin("Y", "YES", "1"), F.lit(False)).alias("clipping"), (cell("filename") == "Album").alias("is_album"))
 
 
-def write_lines(df: DataFrame, path: str, header: list[str] | None = None) -> None:
-    """Write the column `line` as one ordered text file, the header first. For reports, which are bounded by their reader."""
-    out = df.select("line")
-    if header:
-        out = df.sparkSession.createDataFrame([(h,) for h in header], "line string").coalesce(1).unionByName(out)
-    out.coalesce(1).write.mode("overwrite").text(path)
+def write_lines(df: DataFrame, path: str, order: list[str], header: list[str] | None = None) -> None:
+    """Write the column `line` as one text file in the order of some columns, the header first.
+
+    For reports, which are bounded by their reader: one task sorts and writes them.
+    """
+    body = df.select(F.lit(len(header or [])).alias("_k"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), "line")
+    heads = df.sparkSession.createDataFrame(list(enumerate(header or [])), "_k int, line string")
+    out = body.unionByName(heads, allowMissingColumns=True)
+    out.repartition(1).sortWithinPartitions("_k", *(f"_o{i}" for i in range(len(order)))).select("line").write.mode("overwrite").text(path)
