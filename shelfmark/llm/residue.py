@@ -43,6 +43,9 @@ SLOTS = {
     "blank": r"(?<=[^\s_-])[ ]?_{4,}(?!_)|(?<!_)_{4,}(?=[ ]?[^\s_-])",
     "undefined": r"(?<!(?:left|is|was|are|were|remains?|an|the|or|mean|means|[\"'“]) )(?<![\p{L}\p{N}\"'“_.])undefined(?![\p{L}\p{N}\"'”_])(?! (?:behaviou?r|values?|variables?|index|symbols?|names?|references?|functions?|terms?|quantit|period))",
 }
+#: What every grammar needs somewhere: texts without it, which are most, are not searched further.
+MAY_HOLD_SLOT = r"[{<%@~\[]|__|\*\||\([yY][oO]|:[a-z]{2}|TODO|XXXX|undefined"
+
 # Words by which a sentence tells that it speaks about slots.
 ABOUT_SLOTS = (
     r"(?iu)(?<![\p{L}\p{N}])(?:slots?|templates?|placeholders?|patterns?|syntax|variables?|percent signs?|brackets?|braces|layout option|config(?:uration)?(?: file)?"
@@ -152,7 +155,8 @@ def slots(text: Column) -> Column:
     prose = F.regexp_replace(text, CODE, "\n")
     silent = F.filter(sentences(prose), lambda s: ~s.rlike(ABOUT_SLOTS))
     grammar = "|".join(f"(?:{g})" for g in SLOTS.values())
-    return F.flatten(F.transform(silent, lambda s: F.regexp_extract_all(s, F.lit(grammar), F.lit(0))))
+    found = F.flatten(F.transform(silent, lambda s: F.regexp_extract_all(s, F.lit(grammar), F.lit(0))))
+    return F.when(text.rlike(MAY_HOLD_SLOT), found).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def message_share(text: Column) -> Column:
