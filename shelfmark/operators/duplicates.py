@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from shelfmark.functions.normalize import loose_key, name_key
 from shelfmark.operators.stats import filled
 from shelfmark.schema import MUSIC, Roles
+from shelfmark.session import checkpoint
 
 
 def exact_albums(dirs: DataFrame, artist: str = "artist", album: str = "album", place: list[str] = ("root", "dir")) -> DataFrame:
@@ -68,30 +69,62 @@ def track_clusters(tracks: DataFrame, delta: float = 2.0, roles: Roles = MUSIC)
     return met.groupBy("norm_artist", "norm_title", "anchor").agg(F.sum("n").alias("n_copies"), F.count_distinct("place").alias("n_dirs")).where("n_dirs > 1")
 
 
+def ratio_at_least(a: str, b: str, threshold: float) -> float:
+    """The ratio of matching blocks, or 0 once the letters alone show that it stays below the threshold."""
+    matcher = SequenceMatcher(None, a, b)
+    return matcher.ratio() if matcher.quick_ratio() >= threshold else 0.0
+
+
+def bigram_prefixes(names: DataFrame, text: str, key: str, threshold: float) -> DataFrame:
+    """The rarest bigrams of each text, (key, gram), enough that two texts of a ratio of at least `threshold` share one.
+
+    The matching blocks of such a pair are a common subsequence of at least threshold/2 of both lengths together, and a
+    letter outside it spoils two bigrams at most; so the texts share at least (2 threshold - 1) n - 1 bigrams for the
+    length n of either, counted with their repetitions. Of texts ordered by rarity all but that many, and one more, must
+    then meet. Texts too short for the bound have the key of the empty gram as well. Linear in the length of the texts.
+    """
+    c = F.split(F.col(text), "")
+    grams = F.slice(F.zip_with(c, F.slice(c, 2, 1 << 30), lambda x, y: F.concat(x, y)), 1, F.greatest(F.size(c) - 1, F.lit(0)))
+    counted = names.select(F.col(key).alias("key"), F.size(c).alias("n"), F.explode(grams).alias("g")).groupBy("key", "n", "g").agg(F.count("*").alias("k"))
+    numbered = counted.select("key", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: F.concat("g", F.lit("#"), i.cast("string")))).alias("gram"))
+    rarity = numbered.groupBy("gram").agg(F.count("*").alias("df"))
+    shared = F.ceil((2 * threshold - 1) * F.col("n") - 1 - 1e-9)
+    place = F.row_number().over(W.partitionBy("key").orderBy("df", "gram"))
+    ranked = numbered.join(rarity, "gram").withColumn("place", place)
+    kept = ranked.where(F.col("place") <= (F.col("n") - 1) - shared + 1).select("key", "gram")
+    # a short text can only meet texts that are hardly longer
+    short = names.where((2 * threshold - 1) * threshold / (2 - threshold) * F.length(text) - 1 < 1).select(F.col(key).alias("key"), F.lit("").alias("gram"))
+    return kept.unionByName(short)
+
+
 def similar_albums(dirs: DataFrame, threshold: float = 0.85, artist: str = "artist", album: str = "album", id_column: str = "dir_id") -> DataFrame:
     """Pairs of folders of one artist whose albums have nearly the same name: id_a, id_b, ratio.
 
     Albums that are exact duplicates are left out first. Distinct names of an artist are compared, not folders, and only
-    names whose lengths allow the ratio; the ratio is that of matching blocks, which depends on the order, so the name of
-    the smaller first id comes first. Pairs are those between the first folders of each name.
+    names that share one of their rarest bigrams (`bigram_prefixes`, which loses no pair) and whose lengths allow the
+    ratio, so an artist with very many albums is no quadratic affair. The ratio is that of matching blocks, which depends
+    on the order; the name of the smaller first id comes first. Pairs are those between the first folders of each name.
     """
     keyed = dirs.select(name_key(F.col(artist)).alias("norm_artist"), name_key(F.col(album)).alias("norm_album"), loose_key(F.col(album)).alias("loose"), F.col(id_column).alias("id")).where("norm_artist <> ''")
     several = keyed.where("norm_album <> ''").groupBy("norm_artist", "norm_album").agg(F.count("*").alias("n")).where("n > 1").select("norm_artist", "norm_album")
     single = keyed.join(several, ["norm_artist", "norm_album"], "left_anti").where("loose <> ''")
     # folders of one loose name: each is paired with the first one of the name
-    names = single.groupBy("norm_artist", "loose").agg(F.min("id").alias("first"), F.length(F.first("loose")).alias("n"))
+    names = checkpoint(single.groupBy("norm_artist", "loose").agg(F.min("id").alias("first")).withColumn("n", F.length("loose")))
     equal = single.join(names, ["norm_artist", "loose"]).where("id <> first").select(F.col("first").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("ratio"))
-    a, b = (names.select("norm_artist", F.col("loose").alias(f"l{s}"), F.col("first").alias(f"id_{s}"), F.col("n").alias(f"n{s}")) for s in "ab")
+    prefixes = bigram_prefixes(names, "loose", "first", threshold)
+    probes = names.join(prefixes, names["first"] == prefixes["key"]).select("norm_artist", "gram", "loose", "first", "n")
+    a, b = (probes.select("norm_artist", "gram", F.col("loose").alias(f"l{s}"), F.col("first").alias(f"id_{s}"), F.col("n").alias(f"n{s}")) for s in "ab")
     bound = 2 * F.least("na", "nb") / (F.col("na") + F.col("nb"))
-    pairs = a.join(b, "norm_artist").where((F.col("id_a") < F.col("id_b")) & (bound >= threshold)).select("id_a", "id_b", "la", "lb")
+    either_short = (2 * threshold - 1) * F.least("na", "nb") - 1 < 1
+    met = a.join(b, ["norm_artist", "gram"]).where((F.col("id_a") < F.col("id_b")) & (bound >= threshold) & ((F.col("gram") != "") | either_short)).select("id_a", "id_b", "la", "lb").distinct()
 
     def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["ratio"] = [SequenceMatcher(None, x, y).ratio() for x, y in zip(batch["la"], batch["lb"])]
+            batch["ratio"] = [ratio_at_least(x, y, threshold) for x, y in zip(batch["la"], batch["lb"])]
             yield batch[batch["ratio"] >= threshold][["id_a", "id_b", "ratio"]]
 
     kind = dict(dirs.dtypes)[id_column]
-    return equal.unionByName(pairs.mapInPandas(ratios, f"id_a {kind}, id_b {kind}, ratio double"))
+    return equal.unionByName(met.mapInPandas(ratios, f"id_a {kind}, id_b {kind}, ratio double"))
 
 
 def content_duplicates(files: DataFrame, content: str, id_column: str) -> DataFrame:

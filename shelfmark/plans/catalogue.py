@@ -307,7 +307,7 @@ def dupes_multiformat(spark, d):
 SELECT h.norm_artist, h.norm_title, r.anchor, count(*) AS n_copies, count(DISTINCT h.place) AS n_dirs FROM held h LEFT JOIN r ON r.norm_artist = h.norm_artist AND r.norm_title = h.norm_title AND r.v = h.v
 GROUP BY h.norm_artist, h.norm_title, r.anchor HAVING count(DISTINCT h.place) > 1""")
 def dupes_track_clusters(spark, d):
-    return duplicates.track_clusters(normalize.composed(current(spark, d).select("root", "dir", "artist", "title", "duration_s"), []))
+    return duplicates.track_clusters(current(spark, d))
 
 
 @query("dupes_similar")
