@@ -75,25 +75,32 @@ def ratio_at_least(a: str, b: str, threshold: float) -> float:
     return matcher.ratio() if matcher.quick_ratio() >= threshold else 0.0
 
 
+def share_of(threshold: float) -> float:
+    """The share of a text's length, less one, of which bigrams are shared by any text of at least that ratio."""
+    return (1.5 * threshold - 1) * 2 / (2 - threshold)
+
+
 def bigram_prefixes(names: DataFrame, text: str, key: str, threshold: float) -> DataFrame:
     """The rarest bigrams of each text, (key, gram), enough that two texts of a ratio of at least `threshold` share one.
 
-    The matching blocks of such a pair are a common subsequence of at least threshold/2 of both lengths together, and a
-    letter outside it spoils two bigrams at most; so the texts share at least (2 threshold - 1) n - 1 bigrams for the
-    length n of either, counted with their repetitions. Of texts ordered by rarity all but that many, and one more, must
-    then meet. Texts too short for the bound have the key of the empty gram as well. Linear in the length of the texts.
+    The matching blocks of such a pair are a common subsequence of at least threshold/2 of both lengths together. Of the
+    bigrams of one text, a letter outside the subsequence spoils two at most, and a letter that the other text puts
+    between spoils one; with the least length that the other can have, so many are shared as `share_of` says. Of grams
+    ordered by rarity all but that many, and one more, must then meet. Texts so short that the bound says nothing, and
+    those that can meet them, have the empty gram as well. Linear in the length of the texts.
     """
+    share = share_of(threshold)
     c = F.split(F.col(text), "")
     grams = F.slice(F.zip_with(c, F.slice(c, 2, 1 << 30), lambda x, y: F.concat(x, y)), 1, F.greatest(F.size(c) - 1, F.lit(0)))
     counted = names.select(F.col(key).alias("key"), F.size(c).alias("n"), F.explode(grams).alias("g")).groupBy("key", "n", "g").agg(F.count("*").alias("k"))
     numbered = counted.select("key", "n", F.explode(F.transform(F.sequence(F.lit(1), F.col("k")), lambda i: F.concat("g", F.lit("#"), i.cast("string")))).alias("gram"))
     rarity = numbered.groupBy("gram").agg(F.count("*").alias("df"))
-    shared = F.ceil((2 * threshold - 1) * F.col("n") - 1 - 1e-9)
+    shared = F.greatest(F.ceil(F.lit(share) * F.col("n") - 1 - 1e-9), F.lit(1))
     place = F.row_number().over(W.partitionBy("key").orderBy("df", "gram"))
     ranked = numbered.join(rarity, "gram").withColumn("place", place)
     kept = ranked.where(F.col("place") <= (F.col("n") - 1) - shared + 1).select("key", "gram")
     # a short text can only meet texts that are hardly longer
-    short = names.where((2 * threshold - 1) * threshold / (2 - threshold) * F.length(text) - 1 < 1).select(F.col(key).alias("key"), F.lit("").alias("gram"))
+    short = names.where(share * threshold / (2 - threshold) * F.length(text) - 1 < 1 + 1e-9).select(F.col(key).alias("key"), F.lit("").alias("gram"))
     return kept.unionByName(short)
 
 
@@ -115,7 +122,7 @@ def similar_albums(dirs: DataFrame, threshold: float = 0.85, artist: str = "arti
     probes = names.join(prefixes, names["first"] == prefixes["key"]).select("norm_artist", "gram", "loose", "first", "n")
     a, b = (probes.select("norm_artist", "gram", F.col("loose").alias(f"l{s}"), F.col("first").alias(f"id_{s}"), F.col("n").alias(f"n{s}")) for s in "ab")
     bound = 2 * F.least("na", "nb") / (F.col("na") + F.col("nb"))
-    either_short = (2 * threshold - 1) * F.least("na", "nb") - 1 < 1
+    either_short = share_of(threshold) * F.least("na", "nb") - 1 < 1 + 1e-9
     met = a.join(b, ["norm_artist", "gram"]).where((F.col("id_a") < F.col("id_b")) & (bound >= threshold) & ((F.col("gram") != "") | either_short)).select("id_a", "id_b", "la", "lb").distinct()
 
     def ratios(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
