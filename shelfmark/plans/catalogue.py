@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import decode, layout, normalize, render
 from shelfmark.functions.normalize import sql_loose_key, sql_name_key
 from shelfmark.functions.text import trim_all
-from shelfmark.operators import audits, authority, dominant, duplicates, health, matching, places, playlists, snapshot, stats
+from shelfmark.operators import art, audits, authority, dominant, duplicates, health, matching, places, playlists, snapshot, stats, tagplans
 from shelfmark.rules import compile_rule
 from shelfmark.schema import MUSIC, latest_delivery
 from shelfmark.session import table
@@ -640,3 +640,90 @@ def frame_classes(spark, d):
     frames = F.array(*(F.lit(x) for x in ("TYER", "TIT2", "tit2", "TCMP", "TSIZ", "NCON!")))
     rows = table(spark, d, "rating_tags").select(F.element_at(frames, (F.col("reading_id") % 6 + 1).cast("int")).alias("f"))
     return rows.groupBy(decode.frame_class(F.col("f")).alias("class")).agg(F.count("*").alias("n"))
+
+
+# --- art and tag plans ------------------------------------------------------------------------------------------------
+
+
+def _pictures(spark: SparkSession, d: str) -> DataFrame:
+    """Tracks as files with pictures, as follows from their ids: the tables hold none."""
+    return current(spark, d).select("root", "dir", "filename", "ext", F.when(F.col("track_id") % 3 > 0, F.col("track_id") % 50).alias("picture"))
+
+
+@query("art_best", T + """
+, f AS (SELECT root, dir, ext, filename, CASE WHEN track_id % 3 > 0 THEN track_id % 50 END AS picture, list_position(['.flac', '.opus', '.ogg', '.m4a', '.mp3'], ext) AS rank FROM t WHERE ext IN ('.flac', '.opus', '.ogg', '.m4a', '.mp3')
+  QUALIFY row_number() OVER (PARTITION BY root, dir, ext ORDER BY filename) = 1)
+SELECT root, dir, filename, picture FROM f WHERE picture IS NOT NULL QUALIFY row_number() OVER (PARTITION BY root, dir ORDER BY rank) = 1""")
+def art_best(spark, d):
+    return art.best_art(_pictures(spark, d))
+
+
+@query("art_missing", T + """
+SELECT f.root, f.dir, CASE WHEN bool_or(f.track_id % 3 > 0) THEN 'embedded_only' ELSE 'none' END AS bucket FROM t f GROUP BY f.root, f.dir HAVING NOT bool_or(f.track_id % 40 = 0)""")
+def art_missing(spark, d):
+    tracks = current(spark, d)
+    covers = tracks.where("track_id % 40 = 0").select("root", "dir", F.lit("Cover.jpg").alias("filename"))
+    return art.missing_art(tracks, covers, tracks.where("track_id % 3 > 0"))
+
+
+@query("art_mismatch", T + """
+, v AS (SELECT CASE WHEN track_id % 5 = 0 THEN NULL ELSE track_id % 7 END AS e, track_id % 6 AS c, CASE WHEN track_id % 11 > 0 THEN track_id % 4 END AS es, track_id % 3 AS cs FROM t)
+SELECT CASE WHEN e IS NULL THEN 'IRRELEVANT' WHEN e = c THEN 'MATCH' WHEN es IS NULL THEN 'UNREADABLE' WHEN es = cs THEN 'SAME PIXELS' ELSE 'DIFFERENT IMAGE' END AS verdict, count(*) AS n FROM v GROUP BY 1""")
+def art_mismatch(spark, d):
+    i = F.col("track_id")
+    size = lambda c: F.struct(c.alias("width"), c.alias("height"))
+    verdict = art.art_verdict(F.when(i % 5 > 0, i % 7), i % 6, F.when(i % 11 > 0, size(i % 4)), size(i % 3))
+    return current(spark, d).select(verdict.alias("verdict")).groupBy("verdict").agg(F.count("*").alias("n"))
+
+
+@query("art_to_embed", T + """
+, c AS (SELECT root, dir, min(filename) AS cover FROM t WHERE track_id % 40 = 0 GROUP BY root, dir)
+SELECT t.root, t.dir, t.filename, c.cover FROM t JOIN c ON t.root = c.root AND t.dir = c.dir WHERE t.track_id % 3 = 0""")
+def art_to_embed(spark, d):
+    tracks = current(spark, d)
+    covers = tracks.where("track_id % 40 = 0").groupBy("root", "dir").agg(F.min("filename").alias("cover"))
+    return art.to_embed(tracks.withColumn("has_art", F.col("track_id") % 3 > 0), covers)
+
+
+_ACTION = "CASE WHEN lower(trim(tag_key)) IN ('genre', 'rating', 'comment') THEN lower(trim(tag_key)) ELSE 'txxx' END"
+
+
+@query("ape_plan", f"""
+SELECT reading_id, {_ACTION} AS action, CASE WHEN {_ACTION} = 'rating' THEN 'rating dropped' WHEN reading_id % 10 = 0 THEN 'skipped' WHEN reading_id % 4 = 0 THEN 'redundant' ELSE 'migrated' END AS outcome
+FROM rating_tags WHERE tag_key IS NOT NULL""")
+def ape_plan(spark, d):
+    readings = table(spark, d, "rating_tags").where("tag_key is not null")
+    path = F.col("reading_id").alias("path")
+    fields = readings.select(path, F.col("tag_key").alias("key"), F.col("rating").alias("value"), (F.col("reading_id") % 10 == 0).alias("binary"), F.lit(None).cast("string").alias("mime"))
+    present = readings.where("reading_id % 4 = 0").select(path, F.concat(F.lit("TXXX:"), F.lower("tag_key")).alias("frame"))
+    return tagplans.plan_ape(fields, present).select(F.col("path").alias("reading_id"), "action", "outcome")
+
+
+@query("rating_strip_plan", f"""
+SELECT reading_id, round(s, 9) AS stars FROM (SELECT reading_id, CASE WHEN lower(tag_key) LIKE '%fmps_%' AND v BETWEEN 0 AND 1 THEN v * 5 WHEN v <= 5 THEN v WHEN v <= 10 THEN v / 2 WHEN v <= 100 THEN v / 20 WHEN v <= 255 THEN v * 5 / 255 END AS s
+  FROM (SELECT *, {_NUM} AS v FROM rating_tags) WHERE regexp_matches(lower(tag_key), 'rating|score|stars')) WHERE s > 0""")
+def rating_strip_plan(spark, d):
+    plain = F.when(F.col("rating").rlike(r"^\s*[-+]?[0-9]*\.?[0-9]+\s*$"), F.trim("rating"))
+    tags = table(spark, d, "rating_tags").select("reading_id", F.lit("vorbis").alias("container"), F.col("tag_key").alias("key"), plain.alias("value"))
+    return tagplans.plan_rating_strip(tags).select("reading_id", F.round("stars", 9).alias("stars"))
+
+
+@query("retag_plan", T + " SELECT track_id AS path, CASE WHEN coalesce(genre, '') = 'Paperpop' AND track_id % 2 = 0 THEN 'keep' ELSE 'retag' END AS action FROM t")
+def retag_plan(spark, d):
+    files = current(spark, d).select(F.col("track_id").alias("path"), F.when(F.col("genre").isNotNull(), F.array("genre")).alias("genres"), (F.col("track_id") % 2 == 0).alias("plain"))
+    return tagplans.plan_retag(files, ["Paperpop"])
+
+
+@query("lyrics_statuses", T + """
+SELECT CASE WHEN track_id % 13 = 0 THEN 'exists' WHEN coalesce(artist, '') = '' OR coalesce(title, '') = '' THEN 'untagged' WHEN track_id % 2 = 1 THEN 'not-found' WHEN track_id % 11 = 0 THEN 'error' WHEN track_id % 7 = 0 THEN 'instrumental' WHEN track_id % 5 = 0 THEN 'plain-only' ELSE 'would-write' END AS status, count(*) AS n FROM t GROUP BY 1""")
+def lyrics_statuses(spark, d):
+    tracks, i = current(spark, d), F.col("track_id")
+    found = tracks.where(i % 2 == 0).select("track_id", F.when(i % 11 == 0, "timeout").alias("error"), (i % 7 == 0).alias("instrumental"), F.when(i % 5 > 0, "[00:01] la").otherwise(" ").alias("synced"))
+    return tagplans.lyrics_status(tracks.withColumn("has_sidecar", i % 13 == 0), found).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query("folder_subtrees", T + """
+, p AS (SELECT root, string_split(dir, '/') AS w FROM t WHERE dir <> '')
+SELECT root, folder, count(*) AS n_files FROM (SELECT root, unnest([list_aggregate(w[1:i], 'string_agg', '/') FOR i IN range(1, len(w) + 1)]) AS folder FROM p) GROUP BY root, folder""")
+def folder_subtrees(spark, d):
+    return tagplans.subtree_counts(current(spark, d))

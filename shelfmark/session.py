@@ -35,7 +35,7 @@ def local_session(app: str = "shelfmark", cores: str = "*", **conf: str) -> Spar
 
 
 def ship(spark: SparkSession) -> None:
-    """Let the executors' Python import this package, once per context: Spark's own file server hands it out."""
+    """Let the executors' Python import this package, once per context: it lies in the shared folder for them."""
     context = spark.sparkContext
     if getattr(context, "_shelfmark_shipped", False):
         return
@@ -43,9 +43,12 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(packed, "w") as archive:
         for path in sorted(root.rglob("*.py")):
             archive.write(path, path.relative_to(root.parent))
-    folder = tempfile.mkdtemp(prefix="shelfmark-")
-    (Path(folder) / "shelfmark.zip").write_bytes(packed.getvalue())
-    context.addPyFile(f"{folder}/shelfmark.zip")
+    where = f"{scratch_path(spark, 'package')}/shelfmark.zip"
+    target = context._jvm.org.apache.hadoop.fs.Path(where)
+    stream = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target)
+    stream.write(packed.getvalue())
+    stream.close()
+    context.addPyFile(where)
     context._shelfmark_shipped = True
 
 
