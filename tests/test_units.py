@@ -37,7 +37,7 @@ def test_convert_keeps_rows_and_respects_ranges(spark):
     "text, tagger, stars",
     [
         ("4", "plain", 4.0), ("４，５", "plain", 4.5), (" 4.5 ", "plain", 4.5), ("6", "plain", None), ("-1", "plain", None), ("1", "grades", 5.0), ("6", "grades", 0.0), ("7", "grades", None),
-        ("196", "bytes", 4.0), ("0xC4", "bytes", 4.0), ("197", "bytes", None), ("60", "guess", 3.0), ("999", "guess", None), ("3", "bare", None), ("3", "flat", None), ("3", None, None),
+        ("196", "bytes", 4.0), ("0xC4", "bytes", 4.0), ("197", "bytes", None), ("60", "guess", 3.0), ("999", "guess", None), ("3", "bare", 3.0), ("999", "bare", None), ("3", "flat", None), ("3", None, None),
         ("3/5", "bare", 3.0), ("rating: 7/10", "grades", 3.5), ("3 von 10", None, 1.5), ("0,5 of 1", "bare", 2.5), ("5 out of 0", "bare", None), ("9/5", "bare", None),
         ("(40 %)", "bare", 2.0), ("40 per cent", "bare", 2.0), ("101%", "bare", None), ("40pts", "bare", 2.0), ("3 stars", "bytes", 3.0), ("3½ stars", "bytes", 3.5), ("3 1/2 stars", "bytes", 3.5),
         ("4½★", "bare", 4.5), ("★★★½☆", "bare", 3.5), ("☆☆☆☆☆", "bare", 0.0), ("***", "bare", 3.0), ("⭐⭐", "bare", 2.0), ("******", "bare", None), ("2*", "bare", 2.0), ("FIVE STARS", "bare", 5.0),
