@@ -1,7 +1,7 @@
 """Visually identical text with different characters.
 
 A text is brought to one form: letters of ordinary width and composed accents, ordinary spaces, nothing invisible. Then,
-in every word that mixes scripts, each letter is a node set of a lattice, itself and its look-alikes of other scripts,
+in every word that mixes scripts, each letter is a column of a trellis, itself and its look-alikes of other scripts,
 and Viterbi search finds the best path that stays in one script, scored by the letter bigrams of the corpus. Words of
 one script stay as they are, whatever script their neighbours have.
 """
@@ -35,7 +35,7 @@ DOUBTFUL = (
 
 
 def one_script(word: str, model: BigramModel) -> str:
-    """A word with all its letters in one script: the best path through its lattice of look-alikes.
+    """A word with all its letters in one script: the best path through its trellis of look-alikes.
 
     A word that has no such path, or is of one script already, stays as it is. On equal scores the script that most of
     its letters have wins, then the earlier one in SCRIPTS.
@@ -46,12 +46,12 @@ def one_script(word: str, model: BigramModel) -> str:
         return word
     best = None
     for script in present:
-        lattice = [options(c, script) for c in word]
-        if not all(lattice):
+        trellis = [options(c, script) for c in word]
+        if not all(trellis):
             continue
         # Viterbi: the best path to each form of the letter before
         paths = {" ": (0.0, "")}
-        for forms in [*lattice, (" ",)]:
+        for forms in [*trellis, (" ",)]:
             after = {}
             for form in forms:
                 steps = [(score + float(model.log_pairs(np.array([CLASSES[ord(last[-1])], CLASSES[ord(form[0])]], dtype=np.uint32))[0]), text + form) for last, (score, text) in paths.items()]
