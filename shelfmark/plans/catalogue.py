@@ -423,7 +423,12 @@ def snapshot_diff(spark, d):
     return snapshot.diff(*_states(spark, d)).select("kind", "path")
 
 
-@query("snapshot_diff_details")
+@query("snapshot_diff_details", _STATES + """
+SELECT 'MOVED' AS kind, old_path AS path, new_path AS detail FROM moved
+UNION ALL SELECT 'REMOVED', path, '' FROM gone WHERE path NOT IN (SELECT old_path FROM moved) UNION ALL SELECT 'ADDED', path, '' FROM fresh WHERE path NOT IN (SELECT new_path FROM moved)
+UNION ALL SELECT CASE WHEN o.genre IS DISTINCT FROM n.genre THEN 'RETAGGED' ELSE 'RESIZED' END, o.path,
+  CASE WHEN o.genre IS DISTINCT FROM n.genre THEN 'genre ' || coalesce(o.genre, '(none)') || ' -> ' || coalesce(n.genre, '(none)') ELSE o.size || ' -> ' || n.size END
+  FROM o JOIN n ON o.path = n.path WHERE o.genre IS DISTINCT FROM n.genre OR o.size <> n.size""")
 def snapshot_diff_details(spark, d):
     return snapshot.diff(*_states(spark, d))
 
@@ -570,10 +575,15 @@ def rating_normalize(spark, d):
     return table(spark, d, "rating_tags").select("reading_id", F.round(decode.stars_of_number(plain), 9).alias("stars"), decode.looks_numeric(F.col("rating")).alias("numeric_looking"))
 
 
-@query("rating_best")
+@query("rating_best", """
+WITH c AS (SELECT track_id, lower(tag_key) AS k, rating AS v FROM rating_tags WHERE rating IS NOT NULL
+), r AS (SELECT *, CASE WHEN k IN ('rating', 'fmps_rating', 'score', 'stars', 'rate') THEN 0 WHEN k LIKE '%album%' THEN 2 ELSE 1 END AS tier, CASE k WHEN 'rating' THEN '00' WHEN 'fmps_rating' THEN '01' WHEN 'score' THEN '02' WHEN 'stars' THEN '03' WHEN 'rate' THEN '04' ELSE k END AS name FROM c
+), b AS (SELECT track_id, k, try_cast(v AS DOUBLE) AS v FROM r WHERE regexp_matches(replace(v, '.', ''), '^[0-9]+$') QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY tier, name, k, r.v) = 1
+), s AS (SELECT track_id, CASE WHEN k LIKE '%fmps_%' AND v BETWEEN 0 AND 1 THEN v * 5 WHEN v <= 5 THEN v WHEN v <= 10 THEN v / 2 WHEN v <= 100 THEN v / 20 WHEN v <= 255 THEN v * 5 / 255 END AS stars FROM b)
+SELECT t.track_id, round(s.stars, 9) AS stars FROM (SELECT DISTINCT track_id FROM c) t LEFT JOIN s USING (track_id)""")
 def rating_best(spark, d):
     rows = table(spark, d, "rating_tags").where("rating is not null")
-    return rows.groupBy("track_id").agg(F.collect_list(F.struct(F.col("tag_key").alias("key"), F.col("rating").alias("value"))).alias("c")).select("track_id", decode.best_rating(F.col("c")).alias("stars"))
+    return rows.groupBy("track_id").agg(F.collect_list(F.struct(F.col("tag_key").alias("key"), F.col("rating").alias("value"))).alias("c")).select("track_id", F.round(decode.best_rating(F.col("c")), 9).alias("stars"))
 
 
 @query("rating_keys", """
@@ -598,9 +608,13 @@ def render_values(spark, d):
     return current(spark, d).select("track_id", render.duration_text(F.col("duration_s")).alias("length"))
 
 
-@query("song_titles")
+@query("song_titles", T + r"""
+, s AS (SELECT track_id, size, trim(regexp_replace(regexp_replace(filename, '([^.])\.[^.]*$', '\1'), '^[^\-0-9]*-\s*', '')) AS stem FROM t
+), p AS (SELECT *, regexp_extract(stem, '^(?:[0-9]+\s*[-–—]\s*)?([0-9]+)\.?\s*[-–—]?\s*(.+)$', ['n', 'x']) AS a, regexp_extract(stem, '^[Tt]rack\s*([0-9]+)\.?\s*[-–—]?\s*(.+)$', ['n', 'x']) AS b FROM s
+), q AS (SELECT *, CASE WHEN a.n <> '' THEN a.n ELSE b.n END AS n, CASE WHEN a.n <> '' THEN a.x ELSE b.x END AS x FROM p)
+SELECT track_id, CASE WHEN n <> '' THEN (CASE WHEN length(n) < 2 THEN '0' ELSE '' END) || n || '. ' || trim(x) ELSE stem END AS song FROM q""")
 def song_titles(spark, d):
-    return current(spark, d).select("track_id", render.song_title(F.col("filename")).alias("song"), render.size_text(F.col("size")).alias("size_text"))
+    return current(spark, d).select("track_id", render.song_title(F.col("filename")).alias("song"))
 
 
 @query("nearest_duration_match", T + """
