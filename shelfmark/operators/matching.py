@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmark.functions.decode import R128_BASE, gain_verdict
@@ -11,22 +12,44 @@ from shelfmark.functions.normalize import base_artist, credited_artist, folder_k
 from shelfmark.session import checkpoint
 
 
-def nearest_duration(wanted: DataFrame, offers: DataFrame, keys: list[str], tolerance: float = 2.0) -> DataFrame:
+def _two_first(rows: DataFrame, keys: list[str], second: bool) -> DataFrame:
+    """The smallest offer_id of each key as id_1 and, where wanted, the next one as id_2 (null if there is none)."""
+    one = rows.groupBy(*keys).agg(F.min("offer_id").alias("id_1"))
+    if not second:
+        return one.withColumn("id_2", F.lit(None).cast(one.schema["id_1"].dataType))
+    two = rows.join(one, keys).where("offer_id > id_1").groupBy(*keys).agg(F.min("offer_id").alias("id_2"))
+    return one.join(two, keys, "left")
+
+
+def nearest_duration(wanted: DataFrame, offers: DataFrame, keys: list[str], tolerance: float = 2.0, itself: bool = True) -> DataFrame:
     """For each wanted row (id, keys, duration) the best offer (offer_id, keys, duration): id, offer_id, how.
 
-    Of offers with equal keys the nearest duration within the tolerance (near), else the first by id (first). Durations
-    are cut into cells as wide as the tolerance, so that the near ones meet by an equi-join on keys and cell, three
-    cells for each wanted row. Null or zero durations are near nothing.
+    Of offers with equal keys the nearest duration within the tolerance (near), else the first by id (first); of equally
+    near ones the first by id. Durations count to the microsecond; null or zero ones are near nothing. With itself=False
+    both are one table and no row is offered to itself.
+
+    Only distinct durations of a key meet: they are cut into cells as wide as the tolerance, each wanted duration stands
+    in three of them, and in each the neighbours below and above it are read off the sorted cell. No pairs are made.
     """
-    cell = lambda c: F.floor(F.col(c) / tolerance)
-    w = wanted.select("id", *keys, F.when(F.col("duration") > 0, F.col("duration")).alias("want"))
-    o = offers.select("offer_id", *keys, F.when(F.col("duration") > 0, F.col("duration")).alias("have"))
-    reach = w.where("want is not null").withColumn("cell", F.explode(F.array(cell("want") - 1, cell("want"), cell("want") + 1)))
-    near = reach.join(o.where("have is not null").withColumn("cell", cell("have")), [*keys, "cell"]).where(F.abs(F.col("want") - F.col("have")) <= tolerance)
-    best = near.groupBy("id").agg(F.min(F.struct(F.round(F.abs(F.col("want") - F.col("have")), 6).alias("d"), "offer_id")).alias("b")).select("id", F.col("b.offer_id").alias("near_id"))
-    first = w.join(o.groupBy(*keys).agg(F.min("offer_id").alias("first_id")), keys, "left").select("id", "first_id")
-    joined = first.join(best, "id", "left")
-    return joined.select("id", F.coalesce("near_id", "first_id").alias("offer_id"), F.when(F.col("near_id").isNotNull(), "near").when(F.col("first_id").isNotNull(), "first").otherwise("none").alias("how"))
+    seconds = lambda: F.when(F.col("duration") > 0, F.round("duration", 6))
+    cell = F.floor(F.col("at") / tolerance)
+    w = wanted.select("id", *keys, seconds().alias("at"))
+    o = offers.select("offer_id", *keys, seconds().alias("at"))
+    held = _two_first(o.where("at is not null"), [*keys, "at"], not itself).select(*keys, cell.alias("cell"), "at", "id_1", "id_2", F.lit(False).alias("asked"))
+    asked = w.where("at is not null").select(*keys, "at").distinct().select(*keys, F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"), "at")
+    kind = held.schema["id_1"].dataType
+    marks = held.unionByName(asked.withColumns({"id_1": F.lit(None).cast(kind), "id_2": F.lit(None).cast(kind), "asked": F.lit(True)}))
+    marks = marks.groupBy(*keys, "cell", "at").agg(F.min("id_1").alias("id_1"), F.min("id_2").alias("id_2"), F.max("asked").alias("asked"))
+    there = F.when(F.col("id_1").isNotNull(), F.struct("at", "id_1"))
+    beside = lambda order: F.last(there, True).over(W.partitionBy(*keys, "cell").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    both = marks.withColumns({"below": beside(F.asc("at")), "above": beside(F.desc("at"))}).where("asked")
+    off = lambda c: F.when(F.abs(F.col("at") - F.col(f"{c}.at")) <= tolerance, F.struct(F.round(F.abs(F.col("at") - F.col(f"{c}.at")), 6).alias("d"), F.col(f"{c}.id_1").alias("near_id")))
+    beside_at = both.groupBy(*keys, "at").agg(F.min("id_1").alias("at_1"), F.min("id_2").alias("at_2"), F.min(F.least(off("below"), off("above"))).alias("off"))
+    other = lambda one, two: F.col(one) if itself else F.when(F.col(one) == F.col("id"), F.col(two)).otherwise(F.col(one))
+    best = beside_at.select(*keys, "at", "at_1", "at_2", F.col("off.near_id").alias("off_id"))
+    joined = w.join(_two_first(o, keys, not itself), keys, "left").join(best, [*keys, "at"], "left")
+    near_id, first_id = F.coalesce(other("at_1", "at_2"), F.col("off_id")), other("id_1", "id_2")
+    return joined.select("id", F.coalesce(near_id, first_id).alias("offer_id"), F.when(near_id.isNotNull(), "near").when(first_id.isNotNull(), "first").otherwise("none").alias("how"))
 
 
 def nearest_ancestor(rows: DataFrame, directory: str, marked: DataFrame, folder: str, value: str) -> DataFrame:
@@ -100,8 +123,6 @@ def merge_plan(source: DataFrame, target: DataFrame) -> DataFrame:
 
 def free_suffixes(plan: DataFrame, directory: str, stem: str) -> DataFrame:
     """`plan` with `suffix`: `.from-fragment` for the first row of a name, then with a number from 2 on."""
-    from pyspark.sql import Window as W
-
     k = F.row_number().over(W.partitionBy(directory, stem).orderBy("rel"))
     return plan.withColumn("suffix", F.when(k == 1, ".from-fragment").otherwise(F.concat(F.lit(".from-fragment-"), k.cast("string"))))
 

@@ -202,6 +202,21 @@ def test_layouts():
         layout.layout_depths("{genre}/{artist}")
 
 
+def test_nearest_of_all_others(spark):
+    rows_ = [(1, "k", 100.0), (2, "k", 100.0), (3, "k", 101.5), (4, "k", 103.5), (5, "k", 400.0), (6, "k", None), (7, "n", 9.0), (8, None, 9.0), (9, None, 9.0), (10, "m", 5.0), (11, "m", 3.9999), (12, "m", 6.0), (13, "m", 7.1)]
+    wanted = spark.createDataFrame(rows_, "id int, k string, duration double")
+    got = matching.nearest_duration(wanted, wanted.withColumnRenamed("id", "offer_id"), ["k"], itself=False)
+    assert rows(got, "id", F.coalesce("offer_id", F.lit(-1)), "how") == [
+        (1, 2, "near"), (2, 1, "near"), (3, 1, "near"), (4, 3, "near"), (5, 1, "first"), (6, 1, "first"), (7, -1, "none"), (8, -1, "none"), (9, -1, "none"), (10, 12, "near"), (11, 10, "near"), (12, 10, "near"), (13, 12, "near"),
+    ]
+
+
+def test_nearest_of_many_equal_durations(spark):
+    wanted = spark.range(3000).select(F.col("id").cast("int").alias("id"), F.lit("k").alias("k"), (100 + F.col("id") % 3 * 0.5).alias("duration"))
+    got = matching.nearest_duration(wanted, wanted.withColumnRenamed("id", "offer_id"), ["k"], itself=False)
+    assert got.where("how = 'near' and offer_id = (case when id < 3 then id + 3 else id % 3 end)").count() == 3000
+
+
 def test_matching(spark):
     wanted = spark.createDataFrame([(1, "k", 100.0), (2, "k", 500.0), (3, "n", 1.0), (4, "k", None)], "id int, k string, duration double")
     offers = spark.createDataFrame([(7, "k", 101.9), (8, "k", 99.0), (9, "k", None)], "offer_id int, k string, duration double")
