@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfmark.functions.decode import R128_BASE, gain_verdict
 from shelfmark.functions.layout import ancestors
-from shelfmark.functions.normalize import base_artist, credited_artist, folder_key
+from shelfmark.functions.normalize import base_artist, casefolded, credited_artist, folder_key
 from shelfmark.session import checkpoint
 
 
+def _digest(columns: list[Column]) -> Column:
+    """16 bytes for the values of some columns; null if one of them is null."""
+    texts = [c.cast("string") for c in columns]
+    return F.substring(F.unhex(F.sha2(F.concat(*(part for t in texts for part in (F.length(t).cast("string"), F.lit(":"), t))), 256)), 1, 16)
+
+
 def _two_first(rows: DataFrame, keys: list[str], second: bool) -> DataFrame:
     """The smallest offer_id of each key as id_1 and, where wanted, the next one as id_2 (null if there is none)."""
     one = rows.groupBy(*keys).agg(F.min("offer_id").alias("id_1"))
@@ -21,35 +27,53 @@ def _two_first(rows: DataFrame, keys: list[str], second: bool) -> DataFrame:
     return one.join(two, keys, "left")
 
 
-def nearest_duration(wanted: DataFrame, offers: DataFrame, keys: list[str], tolerance: float = 2.0, itself: bool = True) -> DataFrame:
+def nearest_duration(wanted: DataFrame, offers: DataFrame, keys: list[str], tolerance: float = 2.0, itself: bool = True, names: tuple[str, ...] = ()) -> DataFrame:
     """For each wanted row (id, keys, duration) the best offer (offer_id, keys, duration): id, offer_id, how.
 
-    Of offers with equal keys the nearest duration within the tolerance (near), else the first by id (first); of equally
-    near ones the first by id. Durations count to the microsecond; null or zero ones are near nothing. With itself=False
+    Of offers with equal keys the nearest duration within the tolerance (near), else the first by id whose `names` are
+    the wanted ones without case (exact; null is as empty), else the first by id (first); of equally near ones the first
+    by id. Without `names` there is no exact step. Durations count to the microsecond; null or zero ones are near nothing. With itself=False
     both are one table and no row is offered to itself.
 
     Only distinct durations of a key meet: they are cut into cells as wide as the tolerance, each wanted duration stands
-    in three of them, and in each the neighbours below and above it are read off the sorted cell. No pairs are made.
+    in three of them, and in each the neighbours below and above it are read off the sorted cell. No pairs are made. Keys and names go as
+    digests of 16 bytes; if no row is offered to itself, rows that are alone with their key are settled at once.
     """
-    seconds = lambda: F.when(F.col("duration") > 0, F.round("duration", 6))
+    key = _digest([F.col(k) for k in keys]).alias("key")
+    at = F.when(F.col("duration") > 0, F.round("duration", 6)).alias("at")
+    said = [_digest([casefolded(F.coalesce(n, F.lit(""))) for n in names]).alias("said")] if names else []
     cell = F.floor(F.col("at") / tolerance)
-    w = wanted.select("id", *keys, seconds().alias("at"))
-    o = offers.select("offer_id", *keys, seconds().alias("at"))
-    held = _two_first(o.where("at is not null"), [*keys, "at"], not itself).select(*keys, cell.alias("cell"), "at", "id_1", "id_2", F.lit(False).alias("asked"))
-    asked = w.where("at is not null").select(*keys, "at").distinct().select(*keys, F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"), "at")
-    kind = held.schema["id_1"].dataType
+    w = checkpoint(wanted.select("id", key, at, *said))
+    if itself:
+        o = checkpoint(offers.select("offer_id", key, at, *said).where("key is not null"))
+        open_ = w
+    else:
+        several = w.where("key is not null").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        open_ = checkpoint(w.join(several, "key"))
+        o = open_.withColumnRenamed("id", "offer_id")
+    held = _two_first(o.where("at is not null"), ["key", "at"], not itself).select("key", cell.alias("cell"), "at", "id_1", "id_2", F.lit(False).alias("asked"))
+    asked = open_.where("at is not null and key is not null").select("key", "at").distinct().select("key", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"), "at")
+    kind = o.schema["offer_id"].dataType
     marks = held.unionByName(asked.withColumns({"id_1": F.lit(None).cast(kind), "id_2": F.lit(None).cast(kind), "asked": F.lit(True)}))
-    marks = marks.groupBy(*keys, "cell", "at").agg(F.min("id_1").alias("id_1"), F.min("id_2").alias("id_2"), F.max("asked").alias("asked"))
+    marks = marks.groupBy("key", "cell", "at").agg(F.min("id_1").alias("id_1"), F.min("id_2").alias("id_2"), F.max("asked").alias("asked"))
     there = F.when(F.col("id_1").isNotNull(), F.struct("at", "id_1"))
-    beside = lambda order: F.last(there, True).over(W.partitionBy(*keys, "cell").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    beside = lambda order: F.last(there, True).over(W.partitionBy("key", "cell").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
     both = marks.withColumns({"below": beside(F.asc("at")), "above": beside(F.desc("at"))}).where("asked")
-    off = lambda c: F.when(F.abs(F.col("at") - F.col(f"{c}.at")) <= tolerance, F.struct(F.round(F.abs(F.col("at") - F.col(f"{c}.at")), 6).alias("d"), F.col(f"{c}.id_1").alias("near_id")))
-    beside_at = both.groupBy(*keys, "at").agg(F.min("id_1").alias("at_1"), F.min("id_2").alias("at_2"), F.min(F.least(off("below"), off("above"))).alias("off"))
+    gap = lambda c: F.abs(F.col("at") - F.col(f"{c}.at"))
+    off = lambda c: F.when(gap(c) <= tolerance, F.struct(F.round(gap(c), 6).alias("d"), F.col(f"{c}.id_1").alias("off_id")))
+    best = both.groupBy("key", "at").agg(F.min("id_1").alias("at_1"), F.min("id_2").alias("at_2"), F.min(F.least(off("below"), off("above"))).alias("off")).select("key", "at", "at_1", "at_2", "off.off_id")
     other = lambda one, two: F.col(one) if itself else F.when(F.col(one) == F.col("id"), F.col(two)).otherwise(F.col(one))
-    best = beside_at.select(*keys, "at", "at_1", "at_2", F.col("off.near_id").alias("off_id"))
-    joined = w.join(_two_first(o, keys, not itself), keys, "left").join(best, [*keys, "at"], "left")
-    near_id, first_id = F.coalesce(other("at_1", "at_2"), F.col("off_id")), other("id_1", "id_2")
-    return joined.select("id", F.coalesce(near_id, first_id).alias("offer_id"), F.when(near_id.isNotNull(), "near").when(first_id.isNotNull(), "first").otherwise("none").alias("how"))
+    joined = open_.join(_two_first(o, ["key"], not itself), "key", "left").join(best, ["key", "at"], "left")
+    near_id, exact_id, first_id = F.coalesce(other("at_1", "at_2"), F.col("off_id")), F.lit(None).cast(kind), other("id_1", "id_2")
+    if names:
+        exact = _two_first(o, ["key", "said"], not itself).withColumnsRenamed({"id_1": "exact_1", "id_2": "exact_2"})
+        joined, exact_id = joined.join(exact, ["key", "said"], "left"), other("exact_1", "exact_2")
+    how = F.when(near_id.isNotNull(), "near").when(exact_id.isNotNull(), "exact").when(first_id.isNotNull(), "first").otherwise("none")
+    found = joined.select("id", F.coalesce(near_id, exact_id, first_id).alias("offer_id"), how.alias("how"))
+    if itself:
+        return found
+    alone = w.join(several, "key", "left_anti").select("id", F.lit(None).cast(kind).alias("offer_id"), F.lit("none").alias("how"))
+    return found.unionByName(alone)
 
 
 def nearest_ancestor(rows: DataFrame, directory: str, marked: DataFrame, folder: str, value: str) -> DataFrame:

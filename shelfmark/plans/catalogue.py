@@ -639,14 +639,14 @@ def _sql_song(c: str) -> str:
 
 
 @query("nearest_duration_tracks", T + f"""
-, o AS (SELECT track_id AS id, {_sql_song('artist')} AS a, {_sql_song('title')} AS b, CASE WHEN duration_s > 0 THEN duration_s END AS s FROM t
+, o AS (SELECT track_id AS id, {_sql_song('artist')} AS a, {_sql_song('title')} AS b, lower(upper(coalesce(artist, ''))) AS x, lower(upper(coalesce(title, ''))) AS y, CASE WHEN duration_s > 0 THEN duration_s END AS s FROM t
 ), near AS (SELECT w.id, o.id AS offer_id FROM o w JOIN o USING (a, b) WHERE w.id <> o.id AND abs(w.s - o.s) <= 2 QUALIFY row_number() OVER (PARTITION BY w.id ORDER BY round(abs(w.s - o.s), 6), o.id) = 1
-), f AS (SELECT w.id, min(o.id) AS first_id FROM o w LEFT JOIN o ON w.a = o.a AND w.b = o.b AND w.id <> o.id GROUP BY w.id)
-SELECT f.id, coalesce(near.offer_id, first_id) AS offer_id, CASE WHEN near.offer_id IS NOT NULL THEN 'near' WHEN first_id IS NOT NULL THEN 'first' ELSE 'none' END AS how FROM f LEFT JOIN near USING (id)""")
+), f AS (SELECT w.id, min(o.id) AS first_id, min(o.id) FILTER (WHERE o.x = w.x AND o.y = w.y) AS exact_id FROM o w LEFT JOIN o ON w.a = o.a AND w.b = o.b AND w.id <> o.id GROUP BY w.id)
+SELECT f.id, coalesce(near.offer_id, exact_id, first_id) AS offer_id, CASE WHEN near.offer_id IS NOT NULL THEN 'near' WHEN exact_id IS NOT NULL THEN 'exact' WHEN first_id IS NOT NULL THEN 'first' ELSE 'none' END AS how FROM f LEFT JOIN near USING (id)""")
 def nearest_duration_tracks(spark, d):
     # every track against all others of its artist and title; nearest_duration_match is held to two years by its SQL
-    rows = current(spark, d).select(F.col("track_id").alias("id"), _song("artist").alias("artist_key"), _song("title").alias("title_key"), F.col("duration_s").alias("duration"))
-    return matching.nearest_duration(rows, rows.withColumnRenamed("id", "offer_id"), ["artist_key", "title_key"], itself=False)
+    rows = current(spark, d).select(F.col("track_id").alias("id"), _song("artist").alias("artist_key"), _song("title").alias("title_key"), "artist", "title", F.col("duration_s").alias("duration"))
+    return matching.nearest_duration(rows, rows.withColumnRenamed("id", "offer_id"), ["artist_key", "title_key"], itself=False, names=("artist", "title"))
 
 
 @query("ancestor_authority", T + """

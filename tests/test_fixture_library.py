@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.functions import decode, layout, normalize, render
+from shelfmark.functions.normalize import casefolded
 from shelfmark.operators import audits, authority, dominant, duplicates, health, matching, places, playlists, snapshot, stats
 from shelfmark.rules import compile_rule
 from shelfmark.schema import TRACK, extension
@@ -217,6 +218,22 @@ def test_nearest_of_many_equal_durations(spark):
     assert got.where("how = 'near' and offer_id = (case when id < 3 then id + 3 else id % 3 end)").count() == 3000
 
 
+def test_casefolded(spark):
+    texts = ["Straße", "ΝΎΧΤΑΣ", "νύχτας", "ﬁN", "İ", "Ðé", "plain", "", "ᾳ", "ẞ"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    assert [r[0] for r in df.select(casefolded(F.col("c"))).collect()] == [t.casefold() for t in texts]
+
+
+def test_exact_name_before_first(spark):
+    wanted = spark.createDataFrame([(1, "k", "STRASSE", 100.0), (2, "k", "Straße", None), (3, "k", "Street", 900.0), (4, "k", "strasse", 50.0)], "id int, k string, title string, duration double")
+    offers = spark.createDataFrame([(5, "k", "Other", 49.0), (6, "k", None, 500.0), (7, "k", "Strasse", 300.0), (8, "k", "Strasse", 700.0)], "offer_id int, k string, title string, duration double")
+    got = matching.nearest_duration(wanted, offers, ["k"], names=("title",))
+    assert rows(got, "id", "offer_id", "how") == [(1, 7, "exact"), (2, 7, "exact"), (3, 5, "first"), (4, 5, "near")]
+    library = spark.createDataFrame([(1, "k", "A", 10.0), (2, "k", "B", 20.0), (3, "k", "b", 40.0)], "id int, k string, title string, duration double")
+    got = matching.nearest_duration(library, library.withColumnRenamed("id", "offer_id"), ["k"], itself=False, names=("title",))
+    assert rows(got, "id", "offer_id", "how") == [(1, 2, "first"), (2, 3, "exact"), (3, 2, "exact")]
+
+
 def test_matching(spark):
     wanted = spark.createDataFrame([(1, "k", 100.0), (2, "k", 500.0), (3, "n", 1.0), (4, "k", None)], "id int, k string, duration double")
     offers = spark.createDataFrame([(7, "k", 101.9), (8, "k", 99.0), (9, "k", None)], "offer_id int, k string, duration double")
