@@ -336,6 +336,27 @@ def dupes_content_tiers(spark, d):
     return duplicates.content_tiers(prints)
 
 
+#: Characters at either end of a text that stand for the sampled ends of a file.
+_EDGE = 256
+
+
+@query("dupes_content_tiers_whole", f"""
+WITH p AS (SELECT sha256(text) AS full_, CASE WHEN strpos(text, chr(10)) BETWEEN 1 AND length(text) - 1 THEN sha256(substr(text, strpos(text, chr(10)) + 1)) END AS stream, sha256(left(text, {_EDGE})) || ':' || sha256(right(text, {_EDGE})) AS sampled FROM documents WHERE text IS NOT NULL
+), c AS (SELECT *, count(*) OVER (PARTITION BY full_) AS same FROM p)
+SELECT 'exact' AS tier, full_ AS key, count(*) AS n_files FROM c WHERE same > 1 GROUP BY full_
+UNION ALL SELECT 'stream', stream, count(*) FROM c WHERE same = 1 AND stream IS NOT NULL GROUP BY stream HAVING count(*) > 1
+UNION ALL SELECT 'sampled', sampled, count(*) FROM c WHERE same = 1 AND stream IS NULL GROUP BY sampled HAVING count(*) > 1""")
+def dupes_content_tiers_whole(spark, d):
+    # documents stand for files: all after the first line for the sound, both ends of a text without one for the samples
+    text = F.col("text")
+    body = F.expr("substring(text, instr(text, '\n') + 1)")
+    prints = table(spark, d, "documents").where(text.isNotNull()).select(
+        F.lit(None).cast("string").alias("error"), F.sha2(text, 256).alias("full"), F.when((F.instr(text, "\n") > 0) & (body != ""), F.sha2(body, 256)).alias("stream"),
+        F.sha2(F.left(text, F.lit(_EDGE)), 256).alias("head"), F.sha2(F.right(text, F.lit(_EDGE)), 256).alias("tail"),
+    )
+    return duplicates.content_tiers(prints)
+
+
 # --- health -----------------------------------------------------------------------------------------------------------
 
 

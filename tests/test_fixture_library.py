@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from shelfmark.functions import decode, layout, normalize, render
 from shelfmark.functions.normalize import casefolded
 from shelfmark.operators import audits, authority, dominant, duplicates, health, matching, places, playlists, snapshot, stats
+from shelfmark.plans import catalogue
 from shelfmark.rules import compile_rule
 from shelfmark.schema import TRACK, extension
 
@@ -218,6 +219,14 @@ def test_nearest_of_many_equal_durations(spark):
     assert got.where("how = 'near' and offer_id = (case when id < 3 then id + 3 else id % 3 end)").count() == 3000
 
 
+def test_content_tiers_read_to_the_end(spark, tmp_path):
+    long, ends = "one opening that all of these texts share, longer than any prefix " * 9, ["first", "other"]
+    texts = [f"{long}\nbody {e}" for e in ends] + ["Title A\nthe same body", "Title B\nthe same body"] + [long + e for e in ends] + [f"{long} {m} {long}" for m in ends]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.dupes_content_tiers_whole(spark, str(tmp_path)).select("tier", "n_files").collect()
+    assert sorted(map(tuple, got)) == [("sampled", 2), ("stream", 2)]
+
+
 def test_casefolded(spark):
     texts = ["Straße", "ΝΎΧΤΑΣ", "νύχτας", "ﬁN", "İ", "Ðé", "plain", "", "ᾳ", "ẞ"]
     df = spark.createDataFrame([(t,) for t in texts], "c string")
