@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.charlm import LETTERS, PAIRS, BigramModel, buckets, codes
@@ -230,7 +230,6 @@ def judge(text: str, model: BigramModel, mixture: Mixture, source: str | None =
     return decide(likelihoods(text, readings(text), model), mixture, source)
 
 
-MAX_SOURCES = 10_000
 _READINGS = "source string, cell string, n bigint, taught boolean, swaps array<string>, texts array<string>"
 _EXPECTED = "source string, swap string, wrong string, right string, bucket int, n double"
 
@@ -250,6 +249,19 @@ def _read_all(doubtful: DataFrame) -> DataFrame:
     return doubtful.mapInPandas(run, _READINGS)
 
 
+def _own(shares: dict[str, float] | None, mixture: Mixture, source: str | None) -> Mixture:
+    """The mixture of one source, from the shares that came with its row."""
+    return mixture if shares is None else Mixture({source: dict(shares)}, mixture.overall)
+
+
+def _with_shares(read: DataFrame, shares: DataFrame | None) -> DataFrame:
+    """`read` with the shares of the swaps in each cell's own source; null in the first round."""
+    if shares is None:
+        return read.withColumn("shares", F.lit(None).cast("map<string,double>"))
+    met = shares.select(F.col("source").alias("_s"), "shares")
+    return read.join(met, read["source"].eqNullSafe(met["_s"]), "left").drop("_s")
+
+
 def _expect(read: DataFrame, model, mixture: Mixture) -> DataFrame:
     """The expectation step, as sums: cells by source and swap; letters by swap (source null, wrong and right set); and
     the bigrams that cells are expected to have only because they are garbled (bucket set)."""
@@ -258,9 +270,9 @@ def _expect(read: DataFrame, model, mixture: Mixture) -> DataFrame:
         total: dict[tuple[str | None, str, str, str], float] = {}
         garbled = np.zeros(PAIRS + LETTERS)
         for batch in batches:
-            for source, cell, n, taught, swaps, texts in batch.itertuples(index=False):
+            for source, cell, n, taught, swaps, texts, shares in batch.itertuples(index=False):
                 found = list(zip(swaps, texts))
-                posterior = decide(likelihoods(cell, found, model.value), mixture, source)[2]
+                posterior = decide(likelihoods(cell, found, model.value), _own(shares, mixture, source), source)[2]
                 for swap, restored in found:
                     share = posterior[swap]
                     total[source, swap, "", ""] = total.get((source, swap, "", ""), 0.0) + n * share
@@ -273,6 +285,9 @@ def _expect(read: DataFrame, model, mixture: Mixture) -> DataFrame:
                     pair, letter = buckets(c[:-1], c[1:])
                     np.add.at(garbled, pair, n * (1 - posterior[SOUND]))
                     np.add.at(garbled, PAIRS + letter, n * (1 - posterior[SOUND]))
+            if len(total) > 100_000:  # a task may meet any number of sources
+                yield pd.DataFrame([(*k, -1, v) for k, v in total.items()], columns=["source", "swap", "wrong", "right", "bucket", "n"])
+                total.clear()
         at = np.flatnonzero(garbled > 1e-6)
         rows = [(*k, -1, v) for k, v in total.items()] + [(None, "", "", "", int(i), float(garbled[i])) for i in at]
         yield pd.DataFrame(rows, columns=["source", "swap", "wrong", "right", "bucket", "n"])
@@ -280,12 +295,21 @@ def _expect(read: DataFrame, model, mixture: Mixture) -> DataFrame:
     return read.mapInPandas(run, _EXPECTED).groupBy("source", "swap", "wrong", "right", "bucket").agg(F.sum("n").alias("n"))
 
 
+def _shares(sums: DataFrame) -> DataFrame:
+    """The mixture of each source, one row each: source, shares. It stays distributed at any number of sources."""
+    entries = F.col("entries")
+    everything: Column = F.aggregate(entries, F.lit(0.0), lambda a, e: a + e["n"])
+    own = sums.where("bucket < 0 and wrong = ''").groupBy("source").agg(F.sort_array(F.collect_list(F.struct("swap", "n"))).alias("entries"))
+    shared = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["swap"], e["n"] / F.when(F.col("all") > 0, F.col("all")).otherwise(1.0))))
+    return own.withColumn("all", everything).select("source", shared.alias("shares"))
+
+
 def _maximize(rows: list) -> tuple[Mixture, dict[str, dict[str, str]]]:
-    """The maximization step: the mixture of each source, and for each swap of single bytes its table of letters.
+    """The maximization step over all sources: the overall mixture, and for each swap of single bytes its letters.
 
-    The mixture is that of cells which can be read in more than one way.
+    The mixture is that of cells which can be read in more than one way. Rows are sums without their source.
     """
-    by_source: dict[str | None, dict[str, float]] = {}
+    overall: dict[str, float] = {}
     letters: dict[str, dict[str, tuple[float, str]]] = {}
     for row in rows:
         if row["bucket"] >= 0:
@@ -294,50 +318,50 @@ def _maximize(rows: list) -> tuple[Mixture, dict[str, dict[str, str]]]:
             table = letters.setdefault(row["swap"], {})
             table[row["wrong"]] = max(table.get(row["wrong"], (0.0, "")), (row["n"], row["right"]))
         else:
-            own = by_source.setdefault(row["source"], {})
-            own[row["swap"]] = own.get(row["swap"], 0.0) + row["n"]
-    overall: dict[str, float] = {}
-    for own in by_source.values():
-        for swap, n in own.items():
-            overall[swap] = overall.get(swap, 0.0) + n
+            overall[row["swap"]] = overall.get(row["swap"], 0.0) + row["n"]
     everything = sum(overall.values()) or 1.0
-    mixture = Mixture({s: {k: n / (sum(own.values()) or 1.0) for k, n in own.items()} for s, own in by_source.items()}, {k: n / everything for k, n in overall.items()})
+    mixture = Mixture({}, {k: n / everything for k, n in overall.items()})
     for swap, share in Mixture.flat().overall.items():
         mixture.overall[swap] = max(mixture.overall.get(swap, 0.0), share / 100)
     return mixture, {swap: {w: r for w, (_, r) in table.items()} for swap, table in letters.items()}
 
 
+#: Swaps, letters and buckets of all sources together: bounded by the code pages and the bigram table.
+_MOST_SUMS = 500_000
+
+
 def restore_cells(cells: DataFrame, source: str, cell: str, rounds: int = 4) -> DataFrame:
     """One row per distinct garbled cell of each source: source, cell, swap, restored.
 
     cells: one row per cell. restored is the original text, or empty if the cell no longer tells it. Null and empty
     cells, and cells of plain ASCII, are sound and give no row. The letter bigrams are those of all cells without signs
     of wrong decoding, less what each round expects to come of garbled cells; mixtures and letter tables come from all
-    cells that can be read in more than one way. With more than MAX_SOURCES sources they share one mixture.
+    cells that can be read in more than one way. Each source has a mixture of its own, however many there are: they are
+    a table that is joined to the cells.
     """
     spark = cells.sparkSession
     rows = cells.select(F.col(source).cast("string").alias("source"), F.col(cell).alias("cell")).where("cell is not null")
     first = BigramModel.train(rows.where(~F.col("cell").rlike(SUSPECT)), "cell")
     counted = rows.where(F.col("cell").rlike(NON_ASCII)).groupBy("source", "cell").agg(F.count("*").alias("n"))
     read = checkpoint(_read_all(counted.withColumn("taught", ~F.col("cell").rlike(SUSPECT))))
-    by_source = read.select("source").distinct().limit(MAX_SOURCES + 1).count() <= MAX_SOURCES
-    of = read if by_source else read.withColumn("source", F.lit(None).cast("string"))
-    model, mixture, letters = spark.sparkContext.broadcast(first), Mixture.flat(), {}
+    model, mixture, letters, shares = spark.sparkContext.broadcast(first), Mixture.flat(), {}, None
     for _ in range(rounds):
-        sums = bounded_rows(_expect(of, model, mixture), 200 * MAX_SOURCES, "the table of expectations")
+        expected = checkpoint(_expect(_with_shares(read, shares), model, mixture))
+        sums = bounded_rows(expected.groupBy("swap", "wrong", "right", "bucket").agg(F.sum("n").alias("n")), _MOST_SUMS, "the table of expectations")
         mixture, letters = _maximize(sums)
+        shares = _shares(expected)
         model = spark.sparkContext.broadcast(first.without({r["bucket"]: r["n"] for r in sums if r["bucket"] >= 0}))
 
     def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for s, c, _, _, swaps, texts in batch.itertuples(index=False):
-                swap, restored, _ = decide(likelihoods(c, list(zip(swaps, texts)), model.value), mixture, s if by_source else None)
+            for s, c, _, _, swaps, texts, own in batch.itertuples(index=False):
+                swap, restored, _ = decide(likelihoods(c, list(zip(swaps, texts)), model.value), _own(own, mixture, s), s)
                 if swap != SOUND:
                     out.append((s, c, swap, restored))
             yield pd.DataFrame(out, columns=["source", "cell", "swap", "restored"])
 
-    settled = read.mapInPandas(settle, "source string, cell string, swap string, restored string")
+    settled = _with_shares(read, shares).mapInPandas(settle, "source string, cell string, swap string, restored string")
     restored = F.col("restored")
     for swap, table in sorted(letters.items()):
         wrong, right = "".join(table), "".join(table.values())

@@ -91,6 +91,19 @@ def test_restore_cells(spark):
     assert restore_cells(cells(spark, []), "source", "cell").count() == 0
 
 
+#: Czech words read as cp1252: sound or garbled, as their source is.
+AMBIGUOUS = ("Tùò", "Hoøe", "Køeda")
+
+
+def test_every_source_keeps_its_mixture(spark):
+    garbled = [t.encode("cp1250").decode("cp1252") for t in ("Šedý kůň", "Tichá řeka", "Żaglówka", "Księżyc", "Ścieżka")]
+    texts = [("s", t) for t in SOUND_TEXTS * 20] + [("g", t) for t in garbled * 20] + [(s, c) for s in "gs" for c in AMBIGUOUS]
+    many = texts + [(f"{i}", "Kr\ufffddla") for i in range(10_001)]
+    few, all_ = ({(r["source"], r["cell"], r["swap"], r["restored"]) for r in restore_cells(cells(spark, t), "source", "cell").collect()} for t in (texts, many))
+    assert {s for s, c, _, _ in few if c in AMBIGUOUS} == {"g"}
+    assert few == {r for r in all_ if not r[0].isdigit()}
+
+
 def test_plain_cells(spark):
     texts = [("a", t) for t in SOUND_TEXTS * 20] + [("a", "Gоlden Sοng"), ("a", "Gоlden Sοng"), ("a", "Golden​"), ("a", "ChÃ¢teau\xad"), ("a", None), ("a", ""), ("a", "x​" * 20_000)]
     got = {r["cell"]: r["plain_text"] for r in plain_cells(cells(spark, texts), "cell").collect()}
