@@ -6,11 +6,13 @@ import re
 import unicodedata
 from functools import lru_cache
 
-SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")
-# Letters that look alike, in the order Latin, Cyrillic, Greek; a space where a script has none.
+SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN", "CHEROKEE")
+# Groups of letters that look alike, from the public list of confusable characters. A letter may be in
+# several groups, and a group may hold several letters of a script.
 LOOK_ALIKE = (
-    "AАΑ", "BВΒ", "CСϹ", "EЕΕ", "GԌ ", "HНΗ", "IІΙ", "JЈϳ", "KКΚ", "MМΜ", "N Ν", "OОΟ", "PРΡ", "QԚ ", "SЅ ", "TТΤ", "VѴ ", "WԜ ", "XХΧ", "YУΥ", "YҮΥ", "Z Ζ",
-    "aаα", "cсϲ", "dԁ ", "eеε", "gԍ ", "hһ ", "iіι", "jјϳ", "kкκ", "lӏ ", "n η", "oоο", "pрρ", "qԛ ", "rг ", "sѕ ", "tтτ", "u υ", "vѵν", "wԝω", "xхχ", "yуγ", "yү ", "bьβ", "mм ", "ïї ", " ПΠ", " ФΦ", " ГΓ", " лλ",
+    "AАΑᎪ", "BВΒᏴ", "CСϹᏟ", "DᎠ", "EЕΕᎬ", "GԌᏀ", "HНΗᎻ", "IІΙӀ", "JЈᎫ", "KКΚᏦ", "LᏞԼ", "MМΜᎷ", "NΝ", "OОΟՕ", "PРΡᏢ", "QԚ", "RᎡ", "SЅՏᏚ", "TТΤᎢ", "UՍ", "VѴᏙ", "WԜᎳ", "XХΧ", "YУΥ", "YҮΥ", "ZΖᏃ",
+    "aаα", "bьβ", "bЬ", "bв", "cсϲ", "dԁδ", "eеε", "eєε", "fϝ", "gԍց", "hһհ", "hн", "iіι", "jјϳյ", "kкκ", "lӏ", "lІ", "mм", "nпη", "nո", "oоο", "oσօ", "pрρ", "qԛզ", "rг", "sѕ", "tтτ", "uиυ", "uս", "uцυ", "vѵν", "wԝω", "wшω", "wѡա", "xхχ", "yуγ", "yү",
+    "ïї", "ПΠ", "ФΦ", "ГΓ", "лλ", "фφ",
 )
 WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|[\u0300-\u036f])+")
 
@@ -22,15 +24,14 @@ def script_of(letter: str) -> str | None:
     return next((s for s in SCRIPTS if name.startswith(s)), None)
 
 
-def _alternatives() -> dict[str, dict[str, str]]:
-    out: dict[str, dict[str, str]] = {}
+def _alternatives() -> dict[str, dict[str, tuple[str, ...]]]:
+    out: dict[str, dict[str, dict[str, None]]] = {}
     for row in LOOK_ALIKE:
-        letters = [(script_of(c), c) for c in row if c != " "]
-        for script, letter in letters:
-            for other, twin in letters:
-                if other != script:
-                    out.setdefault(letter, {}).setdefault(other, twin)
-    return out
+        for letter in row:
+            for twin in row:
+                if script_of(twin) != script_of(letter):
+                    out.setdefault(letter, {}).setdefault(script_of(twin), {})[twin] = None
+    return {letter: {script: tuple(twins) for script, twins in by.items()} for letter, by in out.items()}
 
 
 ALTERNATIVES = _alternatives()
@@ -41,12 +42,16 @@ def options(letter: str, script: str) -> tuple[str, ...]:
     """The forms that a letter can take in a script: itself if it is of that script, else its look-alikes there."""
     if script_of(letter) in (script, None):
         return (letter,)
+    out = list(ALTERNATIVES.get(letter, {}).get(script, ()))
     base = unicodedata.normalize("NFD", letter)
-    twin = ALTERNATIVES.get(letter, {}).get(script)
-    out = [twin] if twin else []
-    if len(base) > 1 and (bare := ALTERNATIVES.get(base[0], {}).get(script)):
-        out.append(unicodedata.normalize("NFC", bare + base[1:]))
-    return tuple(out)
+    if len(base) > 1:
+        out += (unicodedata.normalize("NFC", bare + base[1:]) for bare in ALTERNATIVES.get(base[0], {}).get(script, ()))
+    return tuple(dict.fromkeys(out))
+
+
+def mixes_scripts(text: str) -> bool:
+    """Whether a word of a text has letters of more than one script."""
+    return any(len({s for c in word if (s := script_of(c))}) > 1 for word in WORD.findall(text))
 
 
 def resolvable(text: str) -> bool:
