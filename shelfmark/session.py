@@ -61,12 +61,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share, as named in spark.checkpoint.dir.
 
-    Only where that setting is absent, as in tests on one machine, a temporary folder of our own is made and set.
+    Only where that setting is absent and the session runs on one machine, as in tests, a temporary folder of our own is
+    made and set; on a cluster RuntimeError is raised, because a folder of one machine is lost to all others.
     """
     context = spark.sparkContext
     current = context._jsc.sc().getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if current.isEmpty():
+        if named is None and not context.master.startswith("local"):
+            raise RuntimeError("name a folder that all executors share in spark.checkpoint.dir")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), f"shelfmark-{os.getpid()}"))
     return named or context._jsc.sc().getCheckpointDir().get()
 
@@ -82,6 +85,29 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def subfolders(spark: SparkSession, path: str) -> list[str]:
+    """The names of what lies directly in a folder; none if there is no such folder."""
+    target, system = _file_system(spark, path)
+    return sorted(status.getPath().getName() for status in system.listStatus(target)) if system.exists(target) else []
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    target, system = _file_system(spark, f"{path}/_SUCCESS")
+    return system.exists(target)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a written table; one that is not there is no error."""
+    target, system = _file_system(spark, path)
+    system.delete(target, True)
+
+
 def bounded_rows(df: DataFrame, bound: int, what: str) -> list:
     """Collect a reference table that must be small, refusing to collect one that is not.
 
