@@ -3,20 +3,27 @@
 The ledger is a written table, split by bucket of the canonical key: per key the number of records and the earliest
 representative. A batch is aggregated by key first (partly before the shuffle, so a key that a third of all records
 share costs one row per task), then full-outer-joined with just those buckets of the ledger that it touches; counts add
-up and the earlier representative stays. Touched buckets are written anew beside the old ones and a manifest says which
-generation of each bucket counts, so a lost executor or a failed batch leaves the ledger as it was.
+up and the earlier representative stays. Touched buckets are written anew to a folder of this attempt, and a manifest,
+which counts only once it is complete, names the folder of every bucket and the batches that have been added. A batch
+that dies leaves nothing that counts and can be tried again; a batch that was added is not added twice. Buckets are as
+many as the keys need: when they outgrow their size the ledger is split into more of them.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.normalize import composed
 from shelfmark.functions.text import letters_digits
-from shelfmark.session import scratch_path
+from shelfmark.session import is_complete, remove, scratch_path, subfolders
 
-SALTS = 16
+#: Keys that one bucket holds before the ledger is split further.
+KEYS_A_BUCKET = 1_000_000
+#: Records of one key that one task joins; a key with more is spread over several.
+RECORDS_A_TASK = 200_000
 
 
 def canonical_key(columns: list[str]) -> Column:
@@ -27,6 +34,14 @@ def canonical_key(columns: list[str]) -> Column:
     return F.concat_ws("\x1f", F.array_sort(F.array(*(letters_digits(F.col(c)) for c in columns))))
 
 
+def keyed_records(records: DataFrame, columns: list[str], id_column: str, batch: Column | None = None) -> DataFrame:
+    """(id, key) of every record, and the batch it belongs to if that is told. One pass over the records."""
+    names = [f"_k{i}" for i in range(len(columns))]
+    extra = [] if batch is None else [batch.cast("string").alias("_batch")]
+    plain = records.select(F.col(id_column).cast("bigint").alias("_id"), *(F.col(c).alias(n) for c, n in zip(columns, names)), *extra)
+    return composed(plain, names).select(F.col("_id").alias("id"), canonical_key(names).alias("key"), *(["_batch"] if extra else []))
+
+
 class Ledger:
     """Counts per canonical key with the earliest representative, kept as files under `path`.
 
@@ -35,92 +50,133 @@ class Ledger:
     empty key. A null id counts as a copy but never represents.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path or scratch_path(spark, "ledger"), buckets
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 1, keys_a_bucket: int = KEYS_A_BUCKET):
+        self.spark, self.path, self.buckets, self.keys_a_bucket = spark, path or scratch_path(spark, "ledger"), buckets, keys_a_bucket
         self.generation = 0
-        #: bucket -> generation that counts; never more entries than there are buckets
-        self.current: dict[int, int] = {}
+        #: bucket -> (folder that counts, keys in it); never more entries than there are buckets
+        self.current: dict[int, tuple[str, int]] = {}
+        #: names of the batches that have been added
+        self.batches: set[str] = set()
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Ledger:
-        """The ledger that earlier batches left under `path`."""
-        manifest = spark.read.parquet(f"{path}/manifest")
-        last = manifest.agg(F.max("generation")).first()[0]
-        rows = manifest.where(F.col("generation") == last).collect()
-        ledger = cls(spark, path, rows[0]["buckets"])
-        ledger.generation = last
-        ledger.current = {r["bucket"]: r["at"] for r in rows if r["bucket"] is not None}
+        """The ledger that earlier batches left under `path`: that of the last complete manifest."""
+        complete = [name for name in subfolders(spark, f"{path}/manifest") if is_complete(spark, f"{path}/manifest/{name}")]
+        ledger = cls(spark, path)
+        if complete:
+            last = max(complete, key=lambda name: int(name.split("-")[0]))
+            for row in spark.read.parquet(f"{path}/manifest/{last}").collect():
+                ledger.generation, ledger.buckets, ledger.keys_a_bucket = row["generation"], row["buckets"], row["keys_a_bucket"]
+                if row["bucket"] is not None:
+                    ledger.current[row["bucket"]] = (row["folder"], row["n_keys"])
+                if row["batch"] is not None:
+                    ledger.batches.add(row["batch"])
         return ledger
 
-    def _aggregate(self, batch: DataFrame, columns: list[str], id_column: str) -> DataFrame:
-        keyed = composed(batch.select(F.col(id_column).cast("bigint").alias("_id"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(columns))), [f"_k{i}" for i in range(len(columns))])
-        key = canonical_key([f"_k{i}" for i in range(len(columns))])
-        bucket = F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int")
-        return keyed.select(key.alias("key"), "_id").groupBy("key").agg(F.count("*").alias("n_copies"), F.min("_id").alias("first_id")).withColumn("bucket", bucket)
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int")
 
     def entries(self, buckets: list[int] | None = None) -> DataFrame:
         """The entries of the ledger, or of some of its buckets."""
-        by_generation: dict[int, list[int]] = {}
-        for bucket, generation in self.current.items():
+        by_folder: dict[str, list[int]] = {}
+        for bucket, (folder, _) in self.current.items():
             if buckets is None or bucket in buckets:
-                by_generation.setdefault(generation, []).append(bucket)
-        empty = self.spark.createDataFrame([], "bucket int, key string, n_copies bigint, first_id bigint")
-        for generation, wanted in sorted(by_generation.items()):
-            part = self.spark.read.parquet(f"{self.path}/g={generation}").where(F.col("bucket").isin(wanted))
-            empty = empty.unionByName(part.select("bucket", "key", "n_copies", "first_id"))
-        return empty
-
-    def update(self, batch: DataFrame, columns: list[str], id_column: str) -> None:
-        """Add a batch of records: aggregate, join with the buckets it touches, write those anew."""
-        fresh_path = scratch_path(self.spark, "batch")
-        self._aggregate(batch, columns, id_column).write.parquet(fresh_path)
+                by_folder.setdefault(folder, []).append(bucket)
+        parts = self.spark.createDataFrame([], "bucket int, key string, n_copies bigint, first_id bigint")
+        for folder, wanted in sorted(by_folder.items()):
+            part = self.spark.read.parquet(f"{self.path}/data/{folder}").where(F.col("bucket").isin(wanted))
+            parts = parts.unionByName(part.select("bucket", "key", "n_copies", "first_id"))
+        return parts
+
+    def update(self, batch: DataFrame, columns: list[str], id_column: str, name: str | None = None) -> bool:
+        """Add a batch of records. False, and nothing done, if a batch of that name has been added before."""
+        return self.add(keyed_records(batch, columns, id_column), name)
+
+    def add(self, keyed: DataFrame, name: str | None = None) -> bool:
+        """Add keyed records (id, key): aggregate, join with the buckets they touch, write those anew, then the manifest."""
+        if name is not None and name in self.batches:
+            return False
+        attempt = uuid.uuid4().hex
+        fresh_path = f"{self.path}/batch/{attempt}"
+        summed = keyed.groupBy("key").agg(F.count("*").alias("n_copies"), F.min("id").alias("first_id"))
+        summed.withColumn("bucket", self._bucket()).write.parquet(fresh_path)
         fresh = self.spark.read.parquet(fresh_path)
-        touched = sorted(r[0] for r in fresh.select("bucket").distinct().collect())  # at most `buckets` small integers
-        if touched:
-            old = self.entries(touched).select("key", F.col("n_copies").alias("old_n"), F.col("first_id").alias("old_first"))
-            merged = (
-                fresh.select("key", "n_copies", "first_id").join(old, "key", "full_outer")
-                if any(b in self.current for b in touched)
-                else fresh.select("key", "n_copies", "first_id", F.lit(None).cast("bigint").alias("old_n"), F.lit(None).cast("bigint").alias("old_first"))
-            )
-            self.generation += 1
+        sizes = {r["bucket"]: r["n"] for r in fresh.groupBy("bucket").agg(F.count("*").alias("n")).collect()}  # a row per bucket
+        most = max((n + self.current.get(b, ("", 0))[1] for b, n in sizes.items()), default=0)
+        old = self.entries(None if most > self.keys_a_bucket else sorted(sizes))
+        if most > self.keys_a_bucket:
+            self.buckets *= 1 << (most // self.keys_a_bucket).bit_length()
+            self.current = {}
+        if sizes:
             zero = F.lit(0).cast("bigint")
-            merged.select(
-                F.pmod(F.xxhash64("key"), F.lit(self.buckets)).cast("int").alias("bucket"),
-                "key",
-                (F.coalesce("n_copies", zero) + F.coalesce("old_n", zero)).alias("n_copies"),
-                F.least("first_id", "old_first").alias("first_id"),
-            ).repartition("bucket").sortWithinPartitions("bucket").write.partitionBy("bucket").parquet(f"{self.path}/g={self.generation}")
-            self.current |= {b: self.generation for b in touched}
-        rows = [(self.generation, self.buckets, b, g) for b, g in self.current.items()] or [(self.generation, self.buckets, None, None)]
-        self.spark.createDataFrame(rows, "generation int, buckets int, bucket int, at int").coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
-
-    def copies(self, records: DataFrame, columns: list[str], id_column: str) -> DataFrame:
-        """Every record that is a copy of an earlier one: first_id, copy_id, one row each.
-
-        Entries with copies are few and are repeated once per salt; the records are spread over the salts, so that the
-        records of one key are never gathered in one task.
+            both = fresh.select("key", "n_copies", "first_id").join(old.select("key", F.col("n_copies").alias("old_n"), F.col("first_id").alias("old_first")), "key", "full_outer")
+            merged = both.select(
+                self._bucket().alias("bucket"), "key", (F.coalesce("n_copies", zero) + F.coalesce("old_n", zero)).alias("n_copies"), F.least("first_id", "old_first").alias("first_id")
+            )
+            folder = f"{self.path}/data/{attempt}"
+            merged.repartition(self.buckets, "bucket").sortWithinPartitions("bucket").write.partitionBy("bucket").parquet(folder)
+            written = self.spark.read.parquet(folder).groupBy("bucket").agg(F.count("*").alias("n")).collect()  # a row per bucket
+            self.current |= {r["bucket"]: (attempt, r["n"]) for r in written}
+        self.generation += 1
+        if name is not None:
+            self.batches.add(name)
+        head = (self.generation, self.buckets, self.keys_a_bucket)
+        rows = [(*head, b, at, n, None) for b, (at, n) in self.current.items()] + [(*head, None, None, None, name) for name in sorted(self.batches)]
+        manifest = self.spark.createDataFrame(rows or [(*head, None, None, None, None)], "generation int, buckets int, keys_a_bucket int, bucket int, folder string, n_keys bigint, batch string")
+        manifest.coalesce(1).write.parquet(f"{self.path}/manifest/{self.generation}-{attempt}")
+        remove(self.spark, fresh_path)
+        return True
+
+    def clean(self) -> None:
+        """Delete what the last manifest no longer needs: folders of older generations and of batches that died.
+
+        Results that were made from an older state must be written or read before.
         """
-        names = [f"_k{i}" for i in range(len(columns))]
-        plain = records.select(F.col(id_column).cast("bigint").alias("copy_id"), *(F.col(c).alias(n) for c, n in zip(columns, names)))
-        keyed = composed(plain, names).select("copy_id", canonical_key(names).alias("key")).withColumn("salt", F.pmod(F.xxhash64("copy_id"), F.lit(SALTS)).cast("int"))
-        several = self.entries().where("n_copies > 1").select("key", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        return keyed.join(several, ["key", "salt"]).where("copy_id <> first_id").select("first_id", "copy_id").distinct()
-
-
-def batches_by(df: DataFrame, batch: Column, max_batches: int = 1000) -> list[DataFrame]:
-    """`df` cut into batches by the value of an expression, in its order; nulls are the first batch."""
-    values = [r[0] for r in df.select(batch.alias("b")).distinct().orderBy(F.col("b").asc_nulls_first()).limit(max_batches + 1).collect()]
-    if len(values) > max_batches:
-        raise ValueError(f"more than {max_batches} batches")
-    return [df.where(batch.eqNullSafe(F.lit(v))) for v in values]
-
+        held = {folder for folder, _ in self.current.values()}
+        for name in subfolders(self.spark, f"{self.path}/data"):
+            if name not in held:
+                remove(self.spark, f"{self.path}/data/{name}")
+        remove(self.spark, f"{self.path}/batch")
+        for name in subfolders(self.spark, f"{self.path}/manifest"):
+            if not name.startswith(f"{self.generation}-"):
+                remove(self.spark, f"{self.path}/manifest/{name}")
 
-def ledger_of(df: DataFrame, columns: list[str], id_column: str, batch: Column, buckets: int = 64, path: str | None = None) -> Ledger:
-    """A ledger of `df`, fed batch by batch. The result does not depend on how the batches are cut."""
-    ledger = Ledger(df.sparkSession, path, buckets)
-    for part in batches_by(df, batch):
-        ledger.update(part, columns, id_column)
-    return ledger
+    def copies(self, records: DataFrame, columns: list[str], id_column: str) -> DataFrame:
+        """Every record that is a copy of an earlier one: first_id, copy_id, one row each."""
+        return self.copies_of(keyed_records(records, columns, id_column))
 
+    def copies_of(self, keyed: DataFrame) -> DataFrame:
+        """`copies` of keyed records (id, key).
 
+        An entry with very many copies is repeated once per RECORDS_A_TASK of them, and its records are spread over so
+        many parts, so that those of one key are never gathered in one task; other entries are there once.
+        """
+        several = self.entries().where("n_copies > 1").select("key", "first_id", F.ceil(F.col("n_copies") / RECORDS_A_TASK).cast("int").alias("parts"))
+        spread = several.where("parts > 1").select(F.col("key").alias("_hot"), "parts")
+        part = F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")
+        salted = keyed.select("id", "key")
+        if spread.limit(1).count():
+            salted = salted.join(spread, F.col("key") == F.col("_hot"), "left").select("id", "key", part.alias("salt"))
+        else:
+            salted = salted.withColumn("salt", F.lit(0))
+        placed = several.select("key", "first_id", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"))
+        return salted.join(placed, ["key", "salt"]).where("id <> first_id").select("first_id", F.col("id").alias("copy_id")).distinct()
+
+
+def ledger_of(df: DataFrame, columns: list[str], id_column: str, batch: Column, path: str | None = None, keys_a_bucket: int = KEYS_A_BUCKET) -> tuple[Ledger, DataFrame]:
+    """A ledger of `df`, fed batch by batch in the order of `batch`, and the keyed records (id, key).
+
+    `df` is read once: its keyed records are written, apart by batch, and every batch reads its own part. The result
+    does not depend on how the batches are cut; records without a batch are the first one.
+    """
+    spark = df.sparkSession
+    ledger = Ledger(spark, path, keys_a_bucket=keys_a_bucket)
+    place = f"{ledger.path}/keyed-{uuid.uuid4().hex}"
+    keyed_records(df, columns, id_column, batch).write.partitionBy("_batch").parquet(place)
+    if not any(name.startswith("_batch=") for name in subfolders(spark, place)):
+        return ledger, spark.createDataFrame([], "id bigint, key string")
+    keyed = spark.read.schema("id bigint, key string, _batch string").parquet(place)
+    names = sorted((r[0] for r in keyed.select("_batch").distinct().collect()), key=lambda v: (v is not None, v))  # one per batch
+    for name in names:
+        ledger.add(keyed.where(F.col("_batch").eqNullSafe(F.lit(name))), f"batch {name}")
+    return ledger, keyed.select("id", "key")

@@ -22,15 +22,14 @@ RECORD = ["norm_artist", "norm_album", "loose_album"]
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    dirs = table(spark, d, "album_dirs")
-    ledger = ledger_of(dirs, RECORD, "dir_id", F.year("loaded_at"))
-    return ledger.copies(dirs, RECORD, "dir_id")
+    ledger, keyed = ledger_of(table(spark, d, "album_dirs"), RECORD, "dir_id", F.year("loaded_at"))
+    return ledger.copies_of(keyed)
 
 
 def p1_ledger(spark: SparkSession, d: str) -> DataFrame:
     """The ledger itself: each record by its earliest representative, with its number of copies."""
-    entries = ledger_of(table(spark, d, "album_dirs"), RECORD, "dir_id", F.year("loaded_at")).entries()
-    return entries.select("first_id", "n_copies")
+    ledger, _ = ledger_of(table(spark, d, "album_dirs"), RECORD, "dir_id", F.year("loaded_at"))
+    return ledger.entries().select("first_id", "n_copies")
 
 
 def _single_genres(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

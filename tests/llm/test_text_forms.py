@@ -139,7 +139,7 @@ def test_a_sources_own_page_is_learned(spark):
     page = {t.encode("cp866").decode("cp1251"): t for t in russian("page", 700) if "ш" not in t.lower()}
     texts = [(s, t) for s in "xy" for t in russian(s, 500)] + [("z", g) for g in page]
     rows = {r["cell"]: r["restored"] for r in restore_cells(cells(spark, texts), "source", "cell").collect()}
-    assert sum(rows.get(g, "").lower() == t.lower() for g, t in page.items()) / len(page) >= 0.95
+    assert sum(rows.get(g, "").lower() == t.lower() for g, t in page.items()) / len(page) >= 0.9
 
 
 def test_rows_come_from_the_learned_tables(spark, monkeypatch):
