@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfmark.functions.text import trim_all
-from shelfmark.session import bounded_rows
+from shelfmark.session import checkpoint
 
 COMPOSED = T.StructType(
     [
@@ -50,39 +50,53 @@ class Conversion:
         return Conversion(self.target, self.source, 1 / self.mul, -self.add / self.mul)
 
 
-def compose(edges: list[Conversion]) -> dict[tuple[str, str], tuple[Fraction, Fraction, int]]:
-    """The shortest composition for each ordered pair of connected units, as (mul, add, number of edges).
+def compose(edges: list[Conversion], targets: list[str] | None = None) -> dict[tuple[str, str], tuple[Fraction, Fraction, int]]:
+    """The shortest composition from every unit to each target it is connected to, as (mul, add, number of edges).
 
-    Every edge can be walked both ways. Raises InconsistentUnits if any cycle fails to give the identity, and
-    ZeroDivisionError for an edge that cannot be walked back. Exact: the arithmetic is that of fractions.
+    Without targets every unit is one, which makes as many rows as there are pairs of units; with them one search is
+    made for each. Every edge can be walked both ways. Raises InconsistentUnits if any cycle fails to give the identity,
+    whether or not it has to do with a target, and ZeroDivisionError for an edge that cannot be walked back. Exact: the
+    arithmetic is that of fractions.
     """
-    ways: dict[str, list[Conversion]] = {}
+    into: dict[str, list[Conversion]] = {}
     for edge in edges:
         for way in (edge, edge.inverse()):
-            ways.setdefault(way.source, []).append(way)
+            into.setdefault(way.target, []).append(way)
+    for ways in into.values():
+        ways.sort(key=lambda way: way.source)
     known: dict[tuple[str, str], tuple[Fraction, Fraction, int]] = {}
-    for start in ways:
-        known[start, start] = (Fraction(1), Fraction(0), 0)
-        queue = deque([start])
+    reached: set[str] = set()
+
+    def search(target: str) -> dict[str, tuple[Fraction, Fraction, int]]:
+        found = {target: (Fraction(1), Fraction(0), 0)}
+        queue = deque([target])
         while queue:
             here = queue.popleft()
-            mul, add, steps = known[start, here]
-            for way in sorted(ways[here], key=lambda w: w.target):
-                there = (way.mul * mul, way.mul * add + way.add)
-                before = known.get((start, way.target))
+            mul, add, steps = found[here]
+            for way in into.get(here, ()):
+                through = (mul * way.mul, mul * way.add + add)
+                before = found.get(way.source)
                 if before is None:
-                    known[start, way.target] = (*there, steps + 1)
-                    queue.append(way.target)
-                elif before[:2] != there:
-                    raise InconsistentUnits(f"{start} -> {way.target}: {before[:2]} or {there}, by way of {here}")
+                    found[way.source] = (*through, steps + 1)
+                    queue.append(way.source)
+                elif before[:2] != through:
+                    raise InconsistentUnits(f"{way.source} -> {target}: {before[:2]} or {through}, by way of {here}")
+        reached.update(found)
+        return found
+
+    for target in list(into) if targets is None else targets:
+        known |= {(source, target): way for source, way in search(target).items()}
+    for unit in into:
+        if unit not in reached:  # no way to a target; its cycles must be sound all the same
+            search(unit)
     return known
 
 
-def composed_table(spark: SparkSession, edges: list[Conversion], ranges: dict[str, tuple[float, float]]) -> DataFrame:
+def composed_table(spark: SparkSession, edges: list[Conversion], ranges: dict[str, tuple[float, float]], targets: list[str] | None = None) -> DataFrame:
     """`compose` as a table of COMPOSED rows, with the range of numbers that a source unit allows (null: any)."""
     rows = [
         (source, target, float(mul), float(add), *(ranges.get(source) or (None, None)), steps)
-        for (source, target), (mul, add, steps) in compose(edges).items()
+        for (source, target), (mul, add, steps) in compose(edges, targets).items()
     ]
     return spark.createDataFrame(rows, COMPOSED)
 
@@ -177,35 +191,44 @@ def infer_scales(bare: DataFrame, tagger: str, amount: str) -> DataFrame:
     return bare.where(F.col(tagger).isNotNull() & F.col(amount).isNotNull()).groupBy(F.col(tagger).alias("tagger")).agg(F.count("*").alias("_n"), *counts).select("tagger", fits.alias("hi"))
 
 
-def rating_conversions(spark: SparkSession, taggers: DataFrame, inferred: DataFrame, max_taggers: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """The composed conversions between all units of ratings, and the table of enumerated steps (unit, amount, stars).
+def attached(scales: DataFrame, unit: str, conversions: DataFrame, target: str) -> DataFrame:
+    """Scales that hang on one unit of the graph by a single edge each, composed with that unit's way to the target.
+
+    scales: source_unit, lo, hi; lo is 0 of `unit` and hi is 1 of it, whichever of them is greater. A scale is a leaf,
+    so it adds no cycle and needs no search: its composition is an expression, whatever the number of scales. A source
+    unit with two different scales raises InconsistentUnits, one with lo equal to hi has no row.
+    """
+    distinct = scales.where("lo <> hi").distinct()
+    twice = distinct.groupBy("source_unit").count().where("count > 1").limit(1).collect()
+    if twice:
+        raise InconsistentUnits(f"{twice[0][0]} has more than one scale")
+    way = conversions.where((F.col("source_unit") == unit) & (F.col("target_unit") == target)).first()
+    if way is None:
+        raise InconsistentUnits(f"{unit} has no way to {target}")
+    mul = F.lit(way["mul"]) / (F.col("hi") - F.col("lo"))
+    add = F.lit(way["add"]) - F.col("lo") * F.lit(way["mul"]) / (F.col("hi") - F.col("lo"))
+    return distinct.select(
+        "source_unit", F.lit(target).alias("target_unit"), mul.alias("mul"), add.alias("add"), F.least("lo", "hi").alias("least"), F.greatest("lo", "hi").alias("most"), F.lit(way["steps"] + 1).alias("steps")
+    )
+
+
+def rating_conversions(spark: SparkSession, taggers: DataFrame, inferred: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The composed conversions of all units of ratings into stars, and the table of enumerated steps (unit, amount, stars).
 
     taggers: tagger, lo, hi, steps as documented. inferred: tagger, hi for those whose scale nobody documented. Both
-    are one row per tagger and collected, at most `max_taggers` of them (ValueError beyond). A tagger with lo equal to
-    hi has no scale.
+    stay tables, however many taggers there are. A tagger with lo equal to hi has no scale; steps go before a scale.
     """
     edges = [Conversion("percent", "share", Fraction(1, 100)), Conversion("points", "percent", Fraction(1)), Conversion("share", "stars", Fraction(TOP)), Conversion("points", "stars", Fraction(TOP, 100))]
-    ranges: dict[str, tuple[float, float]] = {"stars": (0.0, float(TOP)), "share": (0.0, 1.0), "percent": (0.0, 100.0), "points": (0.0, 100.0)}
-    step_rows, documented = [], set()
-
-    def scale(name: str, lo: float, hi: float) -> None:
-        if lo != hi:
-            low, high = Fraction(str(lo)), Fraction(str(hi))
-            edges.append(Conversion(f"tagger:{name}", "share", 1 / (high - low), -low / (high - low)))
-            ranges[f"tagger:{name}"] = (min(lo, hi), max(lo, hi))
-
-    for row in bounded_rows(taggers.where("tagger is not null"), max_taggers, "the table of taggers"):
-        if row["steps"]:
-            step_rows += [(f"tagger:{row['tagger']}", float(x), float(i)) for i, x in enumerate(row["steps"], 1) if x is not None]
-            documented.add(row["tagger"])
-        elif row["lo"] is not None and row["hi"] is not None:
-            scale(row["tagger"], row["lo"], row["hi"])
-            documented.add(row["tagger"])
-    for row in bounded_rows(inferred.where("hi is not null"), max_taggers, "the table of inferred scales"):
-        if row["tagger"] not in documented:
-            scale(row["tagger"], 0.0, row["hi"])
-    steps = spark.createDataFrame(step_rows, "step_unit string, step_amount double, step_stars double")
-    return composed_table(spark, edges, ranges), steps
+    ranges = {"stars": (0.0, float(TOP)), "share": (0.0, 1.0), "percent": (0.0, 100.0), "points": (0.0, 100.0)}
+    written = composed_table(spark, edges, ranges, ["stars"])
+    unit = F.concat(F.lit("tagger:"), F.col("tagger")).alias("source_unit")
+    named = taggers.where("tagger is not null").withColumn("_stepped", F.coalesce(F.size("steps") > 0, F.lit(False)))
+    documented = named.where("_stepped or (lo is not null and hi is not null)").select(F.col("tagger").alias("_t")).distinct()
+    guessed = inferred.where("hi is not null").join(documented, F.col("tagger") == F.col("_t"), "left_anti").select(unit, F.lit(0.0).alias("lo"), F.col("hi").cast("double").alias("hi"))
+    scales = named.where("not _stepped and lo is not null and hi is not null").select(unit, F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi")).unionByName(guessed)
+    steps = named.where("_stepped").select(unit.alias("step_unit"), F.posexplode("steps").alias("_i", "step_amount")).where("step_amount is not null")
+    steps = steps.select("step_unit", "step_amount", (F.col("_i") + 1).cast("double").alias("step_stars")).distinct()
+    return written.unionByName(attached(scales, "share", written, "stars")), steps
 
 
 def ratings_as_stars(readings: DataFrame, taggers: DataFrame, rating: str = "rating", tagger: str = "tagger") -> DataFrame:
@@ -217,7 +240,9 @@ def ratings_as_stars(readings: DataFrame, taggers: DataFrame, rating: str = "rat
     told = read_rating(F.col(rating), F.concat(F.lit("tagger:"), F.col(tagger)))
     read = readings.withColumn("_told", told).withColumns({"_unit": F.col("_told.unit"), "_amount": F.col("_told.amount")}).drop("_told")
     bare = read.where(F.startswith("_unit", F.lit("tagger:")))
-    conversions, steps = rating_conversions(readings.sparkSession, taggers, infer_scales(bare, tagger, "_amount"))
+    # one row per tagger: written once, so that the readings are not read again for every use of it
+    inferred = checkpoint(infer_scales(bare, tagger, "_amount"))
+    conversions, steps = rating_conversions(readings.sparkSession, taggers, inferred)
     done = convert(read, "_amount", "_unit", "stars", conversions, "_stars")
     done = done.join(steps, (F.col("_unit") == F.col("step_unit")) & (F.col("_amount") == F.col("step_amount")), "left")
     return done.withColumn("stars", F.coalesce("_stars", "step_stars")).drop("_unit", "_amount", "_stars", "step_unit", "step_amount", "step_stars")

@@ -26,6 +26,24 @@ def test_inconsistent_cycle_is_refused():
     assert compose([*edges[:2], Conversion("a", "c", Fraction(6))])["a", "c"] == (Fraction(6), 0, 1)
 
 
+def test_one_search_from_the_target_checks_every_cycle():
+    edges = [Conversion(f"t{i}", "share", Fraction(1, i + 1)) for i in range(20_000)] + [Conversion("share", "stars", Fraction(5))]
+    known = compose(edges, ["stars"])
+    assert len(known) == 20_002 and known["t9", "stars"] == (Fraction(1, 2), 0, 2)
+    apart = [Conversion("x", "y", Fraction(2)), Conversion("y", "z", Fraction(2)), Conversion("x", "z", Fraction(5))]
+    with pytest.raises(InconsistentUnits):
+        compose([*edges[-1:], *apart], ["stars"])
+
+
+def test_any_number_of_taggers_and_contradicting_ones(spark):
+    readings = spark.range(0, 300_000, 1, 4).selectExpr("id", "cast(id % 11 as string) as rating", "concat('t', id % 100000) as tagger")
+    taggers = spark.range(100_000).selectExpr("concat('t', id) as tagger", "'k' as tag_key", "0D as lo", "10D as hi", "cast(null as array<double>) as steps")
+    got = ratings_as_stars(readings, taggers).where("stars is distinct from cast(rating as double) / 2").count()
+    assert got == 0
+    with pytest.raises(InconsistentUnits):
+        ratings_as_stars(readings, taggers.union(taggers.limit(1).withColumn("hi", taggers["hi"] * 2)))
+
+
 def test_convert_keeps_rows_and_respects_ranges(spark):
     table = composed_table(spark, [Conversion("pct", "share", Fraction(1, 100))], {"pct": (0.0, 100.0)})
     rows = spark.createDataFrame([(50.0, "pct", 1), (150.0, "pct", 2), (0.5, "share", 3), (1.0, "mile", 4), (None, "pct", 5), (1.0, None, 6)], "amount double, unit string, id int")
