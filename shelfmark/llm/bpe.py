@@ -10,6 +10,7 @@ out and merged in the order of rank, no merge may cross the boundary between the
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -18,6 +19,10 @@ from pyspark.sql import DataFrame
 # Fixed value: the pattern by which this vocabulary cuts a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 FOREVER = 1 << 60
+#: A word of more bytes is encoded by a rolling window of last-token states; as nodes of a trie it would fill the memory.
+LONG_WORD = 1024
+#: How many pairs of tokens are remembered as standing side by side or not.
+MOST_PAIRS = 1_000_000
 #: A vocabulary file larger than this is refused: it is sent to every worker.
 MAX_VOCABULARY_BYTES = 16 << 20
 
@@ -41,7 +46,8 @@ class TrieEncoder:
     """Encodes words by ids of a vocabulary in which a token's id is its rank of merging.
 
     The trie grows with the words seen and is emptied when it has more than `max_nodes` nodes after a call; that bounds
-    the memory and changes no result.
+    the memory and changes no result. Words of more than LONG_WORD bytes, which share no prefix worth keeping, pass
+    through a window of states of fixed length.
     """
 
     def __init__(self, ranks: dict[bytes, int], max_nodes: int = 1_000_000):
@@ -49,6 +55,7 @@ class TrieEncoder:
         self.text_of = {i: token for token, i in ranks.items()}
         #: every ending of every token: how far back it is worth looking
         self.tails = {token[i:] for token in ranks for i in range(len(token))}
+        self.longest = max(map(len, ranks), default=1)
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.stands: dict[tuple[int, int], bool] = {}
         self._clear()
@@ -124,15 +131,59 @@ class TrieEncoder:
             path.append(node)
             if self.last[node] >= 0:
                 continue
-            reach = 1
-            while reach < depth and word[depth - reach - 1 : depth] in self.tails:
-                reach += 1
-            for length in range(reach, 0, -1):
+            for length in range(self._reach(word, depth), 0, -1):
                 token = self.ranks.get(word[depth - length : depth])
                 if token is not None and (length == depth or self._compatible(self.last[path[depth - length]], token)):
                     self.last[node], self.back[node] = token, path[depth - length]
                     break
 
+    def _reach(self, word: bytes, end: int) -> int:
+        """How far back from `end` a token can begin."""
+        reach = 1
+        while reach < end and word[end - reach - 1 : end] in self.tails:
+            reach += 1
+        return reach
+
+    def _encode_long(self, word: bytes, step: int = 1 << 16) -> array:
+        """The ids of a long word. States are kept for the bytes since the last cut alone.
+
+        Every `step` bytes the chains of last tokens from all positions that can still matter are followed back to
+        where they meet; what lies before is settled.
+        """
+        out, base = array("i"), 0
+        last, size = array("i", [-1]), array("i", [0])
+
+        def settle(upto: int) -> None:
+            nonlocal base, last, size
+            ids, at = [], upto
+            while at > base:
+                ids.append(last[at - base])
+                at -= size[at - base]
+            out.extend(reversed(ids))
+            last, size = last[upto - base :], size[upto - base :]
+            base = upto
+
+        for end in range(1, len(word) + 1):
+            for length in range(self._reach(word, end), 0, -1):
+                token = self.ranks.get(word[end - length : end])
+                if token is not None and (length == end or self._compatible(last[end - length - base], token)):
+                    last.append(token)
+                    size.append(length)
+                    break
+            if end % step == 0 and end < len(word):
+                fronts = set(range(max(base, end - self.longest), end + 1))
+                while len(fronts) > 1 or max(fronts) > end - self.longest:
+                    furthest = max(fronts)
+                    if furthest <= base:
+                        break
+                    fronts.discard(furthest)
+                    fronts.add(furthest - size[furthest - base])
+                settle(max(fronts))
+                if len(self.stands) > MOST_PAIRS:
+                    self.stands.clear()
+        settle(len(word))
+        return out
+
     def _ids(self, node: int) -> list[int]:
         out = []
         while node:
@@ -141,7 +192,7 @@ class TrieEncoder:
         return out[::-1]
 
     def encode_words(self, words: set[str]) -> dict[str, list[int]]:
-        """The ids of each word. Sorting makes the walk over the trie depth-first."""
+        """The ids of each word of usual length. Sorting makes the walk over the trie depth-first."""
         new = sorted(w.encode("utf-8", "replace") for w in words - self.words.keys())
         ends = self._insert(new)
         for _, word in ends:
@@ -150,13 +201,19 @@ class TrieEncoder:
             self.words[word.decode("utf-8")] = self._ids(node)
         return self.words
 
-    def encode_texts(self, texts: list[str | None], pattern) -> list[list[list[int]]]:
+    def encode_texts(self, texts: list[str | None], pattern) -> list[list[list[int] | array]]:
         """The ids of each text, as the lists of its words."""
         cut = [pattern.findall(t) if t else [] for t in texts]
-        table = self.encode_words({w for words in cut for w in words})
+        distinct = {w for words in cut for w in words}
+        long = {w for w in distinct if len(w) > LONG_WORD // 4 and len(w.encode("utf-8", "replace")) > LONG_WORD}
+        table = self.encode_words(distinct - long)
+        if long:
+            table = table | {w: self._encode_long(w.encode("utf-8", "replace")) for w in long}
         out = [[table[w] for w in words] for words in cut]
         if len(self.children) > self.max_nodes:
             self._clear()
+        if len(self.stands) > MOST_PAIRS:
+            self.stands.clear()
         return out
 
 

@@ -104,8 +104,10 @@ def match_values(values: DataFrame, value: str, listed: DataFrame, entry: str, n
     met = weighed.join(index.select("gram", "name_id", "entry", "weight"), "gram").groupBy("norm", "entry", "name_id").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = met.groupBy("norm", "entry").agg(F.max("dot").alias("dot")).join(length, "norm").select("norm", "entry", (F.col("dot") / F.col("length")).alias("score"))
     same = index.select(F.col("name").alias("norm"), "entry").distinct().groupBy("norm").agg(F.min("entry").alias("same"))
+    # below the threshold by more than the margin no entry is accepted, nor does it stand in the way of another
+    scored = scored.where(F.col("score") >= options.threshold - options.margin)
     best = scored.groupBy("norm").agg(F.slice(F.sort_array(F.collect_list(F.struct("score", (-F.col("entry")).alias("minus"))), asc=False), 1, 2).alias("b"))
     first, second = F.col("b")[0], F.try_element_at("b", F.lit(2))
     clear = (first["score"] >= options.threshold) & (first["score"] - F.coalesce(second["score"], F.lit(0.0)) >= options.margin)
-    decided = best.join(same, "norm", "left").select("norm", F.coalesce("same", F.when(clear, -first["minus"])).alias("entry"), F.when(F.col("same").isNotNull(), 1.0).otherwise(first["score"]).alias("score"))
+    decided = best.join(same, "norm", "full_outer").select("norm", F.coalesce("same", F.when(clear, -first["minus"])).alias("entry"), F.when(F.col("same").isNotNull(), 1.0).otherwise(first["score"]).alias("score"))
     return distinct.join(decided, "norm", "left").select("value", "entry", "score")

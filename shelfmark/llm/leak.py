@@ -5,12 +5,13 @@ L - q + 1 - q*e of its q-grams, all of them within a narrow band of diagonals (p
 the item). So the shared q-grams of a document are counted in overlapping diagonal bands, the regions that reach the
 bound are kept, and each is verified by an alignment that stays within e diagonals. An exact check of the words follows
 where passages must be verbatim. The index of the items is sent to every task if it is small, and otherwise block by
-block: a stated query set against all documents.
+block, one at a time: a stated query set against all documents.
 """
 
 from __future__ import annotations
 
 import bisect
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,11 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import word_string
+from shelfmark.session import checkpoint, scratch_path
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of the table that tells at once that a q-gram is in no item.
 SIEVE_BITS = 22
 SEGMENT_BYTES = 4 << 20
+#: Shared q-grams that are held at once; texts with more are looked at in halves.
+MOST_HITS = 8_000_000
 
 
 def qgram_hashes(data: np.ndarray, q: int) -> np.ndarray:
@@ -70,11 +74,14 @@ def reaches(a: bytes, b: bytes, i: int, j: int, step: int, edits: int) -> list[i
 class Item:
     id: int
     text: bytes
-    starts: list[int]
-    ends: list[int]
-    windows: list[bytes]
+    starts: array
+    ends: array
     least: int
 
+    def passages(self) -> Iterator[bytes]:
+        """Every passage of the item, made when it is asked for."""
+        return (self.text[s:e] for s, e in zip(self.starts, self.ends))
+
 
 class LeakIndex:
     """An inverted index of the q-grams of test items, with the bound that each item's passages must reach."""
@@ -89,10 +96,9 @@ class LeakIndex:
                 at += len(part) + 1
             if len(spans) < words:
                 continue
-            starts = [spans[k][0] for k in range(len(spans) - words + 1)]
-            ends = [spans[k + words - 1][1] for k in range(len(spans) - words + 1)]
-            windows = [data[s:e] for s, e in zip(starts, ends)]
-            self.items.append(Item(item_id, data, starts, ends, windows, min(map(len, windows))))
+            starts = array("q", (spans[k][0] for k in range(len(spans) - words + 1)))
+            ends = array("q", (spans[k + words - 1][1] for k in range(len(spans) - words + 1)))
+            self.items.append(Item(item_id, data, starts, ends, min(e - s for s, e in zip(starts, ends))))
         shortest = min((i.least for i in self.items), default=0)
         self.q = max(1, min(16, (shortest + 1) // (edits + 2)))
         keys, owner, place = [], [], []
@@ -111,8 +117,8 @@ class LeakIndex:
         self.length = np.array([i.least for i in self.items], dtype=np.int64)
         self.bound = self.length - self.q + 1 - self.q * edits
 
-    def _hits(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """Document, position, item, position in the item of every shared q-gram."""
+    def _hits(self, texts: list[bytes]) -> tuple[np.ndarray, ...] | None:
+        """Document, position, item, position in the item of every shared q-gram; None if that is too many at once."""
         out: list[tuple[np.ndarray, ...]] = []
         joined, starts, at = b"\xff".join(texts), [], 0
         for text in texts:
@@ -120,6 +126,7 @@ class LeakIndex:
             at += len(text) + 1
         begin = np.array(starts, dtype=np.int64)
         data = np.frombuffer(joined, dtype=np.uint8)
+        total = 0
         for cut in range(0, max(1, len(data)), SEGMENT_BYTES):
             h = qgram_hashes(data[cut : cut + SEGMENT_BYTES + self.q - 1], self.q)
             near = np.flatnonzero(self.sieve[h >> np.uint64(64 - SIEVE_BITS)])
@@ -128,6 +135,9 @@ class LeakIndex:
             same = self.unique[slot] == h[near]
             near, slot = near[same], slot[same]
             n = self.count[slot]
+            total += int(n.sum())
+            if total > MOST_HITS and len(texts) > 1:
+                return None
             posting = np.repeat(self.first[slot] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum()) if len(n) else np.zeros(0, dtype=np.int64)
             where = np.repeat(near + cut, n)
             doc = np.searchsorted(begin, where, side="right") - 1
@@ -138,7 +148,13 @@ class LeakIndex:
         """The regions that reach the bound: document, item, position, position in the item of a q-gram within."""
         if not self.items or not any(texts):
             return
-        doc, pos, item, place = self._hits(texts)
+        hits = self._hits(texts)
+        if hits is None:
+            half = len(texts) // 2
+            yield from self.regions(texts[:half])
+            yield from ((doc + half, *rest) for doc, *rest in self.regions(texts[half:]))
+            return
+        doc, pos, item, place = hits
         width = max(1, 2 * self.edits)
         seen: set[tuple[int, int, int, int]] = set()
         for shift in (0, self.edits) if self.edits else (0,):
@@ -184,7 +200,7 @@ class LeakIndex:
                 continue
             if verbatim:
                 padded = b" " + texts[doc] + b" "
-                if not any(b" " + w + b" " in padded for w in item.windows):
+                if not any(b" " + w + b" " in padded for w in item.passages()):
                     continue
             out.add((doc, item.id))
         return sorted(out)
@@ -198,22 +214,34 @@ def find_leaks(
     edits: how many characters may differ within the passage to be kept as a region; with `verbatim` the words must
     then be equal one by one. Null and empty texts hold nothing, items of fewer words than a passage have none, null ids
     are dropped, ids that occur twice are one. Documents are never shuffled, only the pairs found are. Items are indexed
-    in blocks of at most `block_bytes` of text (more only for a single item that is itself longer), one pass over the
-    documents for each block.
+    in blocks of about `block_bytes` of text (more only for a single item that is itself longer), one pass over the
+    documents for each block. With several blocks their pairs are written one block after the other, and no more than
+    one block is ever in the driver or with the workers.
     """
     spark = documents.sparkSession
     plain = items.select(F.col(item_id).cast("bigint").alias("id"), word_string(F.col(item_text)).alias("t")).where("id is not null and t <> ''").distinct()
     total = plain.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
     docs = documents.select(F.col(doc_id).cast("bigint").alias("doc_id"), word_string(F.col(text)).alias("t")).where("doc_id is not null and t <> ''")
-    found = spark.createDataFrame([], "doc_id bigint, item_id bigint")
+    if blocks == 1:
+        index = spark.sparkContext.broadcast(LeakIndex([(r["id"], r["t"]) for r in plain.toLocalIterator()], words, edits))
+        return docs.mapInArrow(_finder(index, verbatim), PAIRS).distinct()
+    # the items apart by block, so that each block is read alone
+    place = scratch_path(spark, "items")
+    plain.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition("block").write.partitionBy("block").parquet(place)
+    apart = spark.read.schema("id bigint, t string, block int").parquet(place)
+    found = spark.createDataFrame([], PAIRS)
     for block in range(blocks):
-        part = plain if blocks == 1 else plain.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
-        index = spark.sparkContext.broadcast(LeakIndex([(r["id"], r["t"]) for r in part.collect()], words, edits))
-        found = found.unionByName(docs.mapInArrow(_finder(index, verbatim), "doc_id bigint, item_id bigint"))
+        part = apart.where(F.col("block") == block).select("id", "t")
+        index = spark.sparkContext.broadcast(LeakIndex([(r["id"], r["t"]) for r in part.toLocalIterator()], words, edits))
+        found = found.unionByName(checkpoint(docs.mapInArrow(_finder(index, verbatim), PAIRS).distinct()))
+        index.destroy()
     return found.distinct()
 
 
+PAIRS = "doc_id bigint, item_id bigint"
+
+
 def _finder(index, verbatim: bool):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,7 +2,8 @@
 
 Every distinct name is brought to words without case, accents, articles and nicknames, abbreviated kinds of group
 spelled out. Two spellings link if their words agree in any order, if they differ by a few letters, if one gives only
-an initial that points to one single person, or if one has a short form of the other's first name. Those that differ by
+an initial that points to one single person, or if one has a short form of the other's first name or the nickname that
+the other gives in quotes. Those that differ by
 letters are found by a pigeonhole segment join: with k edits, one of k+1 segments of the shorter text is found in the
 longer one, shifted by at most k places. The segments are an inverted index; substrings of the other texts are looked up
 in it by an equi-join and what meets is verified by banded edit distance. A segment that very many names share is not
@@ -24,10 +25,19 @@ from pyspark.sql import functions as F
 from shelfmark.llm.components import components
 from shelfmark.session import checkpoint
 
-# Words that are no part of a name, and kinds of group with their customary short forms.
+# Words that are no part of a name, kinds of group, what a digit stands for before the rest of one, and
+# customary short forms of given names.
 DROPPED = {"the", "of", "and", "et", "und", "band"}
-GROUPS = ("orchestra", "collective", "brothers", "sisters", "ensemble", "assembly", "quartet", "quintet", "trio", "duo", "choir", "project", "experience")
-SHORT_GROUPS = {"bros": "brothers", "orch": "orchestra", "coll": "collective", "ens": "ensemble", "assy": "assembly", "assem": "assembly", "qt": "quartet", "qrt": "quartet", "4tet": "quartet", "5tet": "quintet", "sis": "sisters", "ensbl": "ensemble", "orq": "orchestra", "tr": "trio", "3io": "trio"}
+GROUPS = ("orchestra", "orquesta", "collective", "brothers", "sisters", "ensemble", "assembly", "quartet", "quintet", "trio", "duo", "choir", "project", "experience")
+SAME_GROUP = {"orquesta": "orchestra"}
+DIGITS = {"2": "du", "3": "tr", "4": "quar", "5": "quin"}
+GIVEN_NAMES = {
+    "abe": "abraham", "andy": "andrew", "barb": "barbara", "becky": "rebecca", "ben": "benjamin", "beth": "elizabeth", "betty": "elizabeth", "bill": "william", "billy": "william", "bob": "robert", "bobby": "robert", "cathy": "catherine",
+    "charlie": "charles", "chuck": "charles", "dave": "david", "debbie": "deborah", "dick": "richard", "dot": "dorothy", "ed": "edward", "eddie": "edward", "frank": "francis", "fred": "frederick", "gene": "eugene", "gerry": "gerald",
+    "greg": "gregory", "hank": "henry", "harry": "harold", "jack": "john", "jake": "jacob", "jenny": "jennifer", "jim": "james", "jimmy": "james", "joe": "joseph", "johnny": "john", "kate": "katherine", "kathy": "katherine", "larry": "lawrence",
+    "liz": "elizabeth", "maggie": "margaret", "matt": "matthew", "meg": "margaret", "mick": "michael", "mickey": "michael", "mike": "michael", "nancy": "ann", "nick": "nicholas", "peggy": "margaret", "pete": "peter", "polly": "mary", "rick": "richard",
+    "rob": "robert", "ron": "ronald", "sally": "sarah", "steve": "steven", "sue": "susan", "tim": "timothy", "tom": "thomas", "tony": "anthony", "vicky": "victoria", "walt": "walter", "will": "william",
+}
 NICK_ENDINGS = ("", "o", "y", "ie", "i")
 
 
@@ -41,18 +51,36 @@ class NameOptions:
     hot: int = 40
 
 
-def _is_short_for(word: str, kind: str) -> bool:
-    """Whether a cut or vowel-less word stands for a kind of group."""
-    if len(word) < 3 or word[0] != kind[0] or len(word) >= len(kind):
-        return False
-    if kind.startswith(word):
-        return True
-    letters = iter(kind)
-    return all(ch in letters for ch in word) and len(word) >= 4 and kind.startswith(word[:3]) and set(kind) - set(word) <= set("aeiou") | {kind[-1]}
+def kind_of_group(word: str) -> str | None:
+    """The kind of group that a word is, or is a customary cut of: its beginning, or its consonants with a vowel at most.
+
+    A digit stands for the beginning of its number word. Of several kinds the first listed one is meant.
+    """
+    spelled = DIGITS[word[0]] + word[1:] if word[0] in DIGITS and len(word) > 1 else word
+    for kind in GROUPS:
+        if spelled == kind:
+            return SAME_GROUP.get(kind, kind)
+    for kind in GROUPS:
+        letters = iter(kind)
+        bare = all(ch in letters for ch in word) and sum(ch in "aeiou" for ch in word[1:]) <= 1
+        if word[0] == kind[0] and 2 <= len(word) < len(kind) and (bare or (len(word) >= 3 and kind.startswith(word))):
+            return SAME_GROUP.get(kind, kind)
+    return None
+
+
+@dataclass(frozen=True)
+class ReadName:
+    """long: the words in the order of speaking; single: the single letters; nick: a nickname in quotes; bare: all its
+    letters and digits, for names of which nothing else is left."""
+
+    long: list[str]
+    single: list[str]
+    nick: str | None
+    bare: str
 
 
-def read_name(name: str) -> tuple[list[str], list[str], str | None]:
-    """The words of a name in the order of speaking, the single letters among them, and a nickname in quotes."""
+def read_name(name: str) -> ReadName:
+    """The words of a name, case, accents, articles and possessives aside."""
     text = unicodedata.normalize("NFKC", name)
     nick = re.search(r"[\"“«]\s*(\w+)\s*[\"”»]", text)
     text = re.sub(r"[\"“«][^\"”»]*[\"”»]", " ", text)
@@ -62,13 +90,11 @@ def read_name(name: str) -> tuple[list[str], list[str], str | None]:
     if comma and "," not in tail:
         text = f"{tail} {head}"
     folded = "".join(ch for ch in unicodedata.normalize("NFKD", text.casefold()) if not unicodedata.combining(ch))
-    words = [w for w in re.findall(r"[^\W_]+", folded) if w not in DROPPED]
+    every = re.findall(r"[^\W_]+", folded)
+    words = [w for w in every if w not in DROPPED]
     long = [w for w in words if len(w) > 1]
-    for i, word in enumerate(long):
-        if i:
-            kind = SHORT_GROUPS.get(word) or next((g for g in GROUPS if _is_short_for(word, g)), None)
-            long[i] = kind or word
-    return long, [w for w in words if len(w) == 1], nick.group(1).casefold() if nick else None
+    long[1:] = [kind_of_group(w) or w for w in long[1:]]
+    return ReadName(long, [w for w in words if len(w) == 1], nick.group(1).casefold() if nick else None, "".join(every))
 
 
 def segments(length: int, parts: int) -> list[tuple[int, int]]:
@@ -176,41 +202,47 @@ def same_but_for_typos(a: str, b: str, options: NameOptions) -> bool:
 
 
 def read_names(names: DataFrame) -> DataFrame:
-    """(name) to name, spoken and ordered (its words as spoken and in sorted order), initial, surname, stem, nick.
+    """(name) to name, spoken and ordered (its words as spoken and in sorted order), initial, surname, first, nick, bare.
 
-    initial and surname are set for a name of one long word and single letters; stem and surname for one of two long
-    words, once for either order. A name without a letter has null words.
+    initial and surname are set for a name of one long word and single letters; first and surname for one of two long
+    words, once for either order; nick and surname for a nickname in quotes. A name without a long word has only its
+    bare letters.
     """
+    columns = ["name", "spoken", "ordered", "initial", "surname", "first", "nick", "bare"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for name in batch["name"]:
-                long, single, _ = read_name(name)
+                read = read_name(name)
+                long, single = read.long, read.single
+                spoken, ordered = " ".join(long) or None, " ".join(sorted(long)) or None
                 if len(long) == 1 and single:
-                    rows.append((name, None, None, single[0], long[0], None))
+                    rows.append((name, None, None, single[0], long[0], None, None, None))
                 elif len(long) == 2:
-                    spoken, ordered = " ".join(long), " ".join(sorted(long))
-                    rows += [(name, spoken, ordered, None, long[1], long[0]), (name, spoken, ordered, None, long[0], long[1])]
+                    rows += [(name, spoken, ordered, None, long[1], long[0], None, None), (name, spoken, ordered, None, long[0], long[1], None, None)]
                 elif long:
-                    rows.append((name, " ".join(long), " ".join(sorted(long)), None, None, None))
+                    rows.append((name, spoken, ordered, None, None, None, None, None))
                 else:
-                    rows.append((name, None, None, None, None, None))
-            yield pd.DataFrame(rows, columns=["name", "spoken", "ordered", "initial", "surname", "first"])
+                    rows.append((name, None, None, None, None, None, None, read.bare or None))
+                if read.nick and long:
+                    rows.append((name, None, None, None, long[-1], None, read.nick, None))
+            yield pd.DataFrame(rows, columns=columns)
 
-    return names.select("name").mapInPandas(run, "name string, spoken string, ordered string, initial string, surname string, first string")
+    return names.select("name").mapInPandas(run, ", ".join(f"{c} string" for c in columns))
 
 
 def link_names(names: DataFrame, options: NameOptions = NameOptions()) -> DataFrame:
     """One row per distinct name that has a variant: name, entity (the smallest of the linked names).
 
-    names: a column `name`; nulls, blanks and repetitions are ignored, names without letters link with none. No hot
+    names: a column `name`; nulls, blanks and repetitions are ignored, names without letters link with none; names of
+    single letters and articles only link by those. No hot
     segment, name or entity is dropped. Work is done on distinct names only.
     """
     distinct = names.select("name").where(r"name is not null and name rlike '[\\p{L}\\p{N}]'").distinct()
     read = checkpoint(read_names(distinct))
     # spellings whose words agree, in any order and however they are spaced: a star around the smallest one
-    agreeing = read.where("ordered is not null").select("name", F.replace("ordered", F.lit(" "), F.lit("")).alias("joined")).distinct()
+    agreeing = read.where("ordered is not null or bare is not null").select("name", F.coalesce(F.replace("ordered", F.lit(" "), F.lit("")), "bare").alias("joined")).distinct()
     stars = agreeing.groupBy("joined").agg(F.min("name").alias("a"))
     equal = agreeing.join(stars, "joined").where("a <> name").select("a", F.col("name").alias("b"))
     # slips of typing, between one representative of each word sequence
@@ -240,6 +272,12 @@ def link_names(names: DataFrame, options: NameOptions = NameOptions()) -> DataFr
         nick = nick | (F.col("first") == F.concat("stem", F.lit(ending)))
     short = forms.where(nick | (F.col("first") == doubled)).select("surname", "stem", F.col("name").alias("b"), F.col("first").alias("nick"))
     links.append(forms.join(short, ["surname", "stem"]).where("first <> nick").select(F.col("name").alias("a"), "b"))
+    # a customary short form of a given name before the same surname, and a nickname that a name gives in quotes
+    given = F.create_map(*(F.lit(word) for pair in GIVEN_NAMES.items() for word in pair))
+    called = people.groupBy("surname", "first").agg(F.min("name").alias("name"))
+    nicknamed = called.select("surname", F.try_element_at(given, F.col("first")).alias("first"), F.col("name").alias("b")).where("first is not null")
+    quoted = read.where("nick is not null").select("surname", F.col("nick").alias("first"), F.col("name").alias("b"))
+    links.append(called.join(nicknamed.union(quoted), ["surname", "first"]).select(F.col("name").alias("a"), "b"))
     firm = links[0]
     for more in links[1:]:
         firm = firm.union(more)

@@ -1,8 +1,9 @@
 """Template residue and error-page text.
 
 Unfilled slots are found by one grammar per kind of delimiter. A slot counts unless its surroundings show that the text
-talks about slots: code blocks and indented code are cut out first, and a sentence that speaks of templates, patterns,
-configuration and the like discounts the slots in it. Filler, error messages and script notices count by density: the
+talks about slots: code blocks, code spans and indented code are cut out first; a sentence that speaks of templates,
+patterns, configuration and the like discounts the slots in it, and so does one that mentions a slot instead of using it:
+right after a verb of writing in the present or the imperative, or quoted and followed by a quoted filling. Filler, error messages and script notices count by density: the
 share of a text, page furniture aside, that consists of sentences which are nothing but such messages. A sentence that
 quotes or mentions one does not open with it and so is prose. Everything is done by built-in expressions, row by row.
 """
@@ -15,31 +16,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The grammars of unfilled slots, by delimiter.
-NAME = r"[\p{L}_][\p{L}\p{N}_.-]{0,40}"
+NAME = r"[\p{L}_][\p{L}\p{N}_.-]*+"
 SLOTS = {
     "double braces": rf"\{{\{{\s*{NAME}\s*\}}\}}",
     "brace and percent": rf"\{{%\s*{NAME}\s*%\}}",
     "dollar and braces": rf"\$\{{\s*{NAME}\s*\}}",
     "braces and dollar": rf"\{{\$\s*{NAME}\s*\}}",
     "hash and braces": rf"#\{{\s*{NAME}\s*\}}",
-    "braces": r"(?<![{$#%\p{L}\p{N}])\{[\p{L}_][\p{L}\p{N}_]{1,40}\}(?!\})",
+    "braces": r"(?<![{$#%\p{L}\p{N}])\{[\p{L}_][\p{L}\p{N}_]++\}(?!\})",
     "numbered braces": r"(?<!\{)\{[0-9]{1,2}\}(?!\})",
     "angle and percent": rf"<%=?\s*{NAME}\s*%>",
     "double angles": rf"<<\s*{NAME}\s*>>",
-    "angles": r"(?<!<)<(?!/?(?:unk|pad|mask|cls|sep|bos|eos|[a-z]|br|hr|div|span|img|pre|code|html|head|body|title|table|noscript|script|style|strong|em|ul|ol|li|td|tr|th|sub|sup|angle)>)[a-z][a-z_]{2,30}>(?!>)",
+    "angles": r"(?<!<)<(?!/?(?:unk|pad|mask|cls|sep|bos|eos|[a-z]|br|hr|div|span|img|pre|code|html|head|body|title|table|noscript|script|style|strong|em|ul|ol|li|td|tr|th|sub|sup|angle)>)[a-z][a-z_]{2,}+>(?!>)",
     "double brackets": rf"\[\[\s*{NAME}\s*\]\]",
-    "capitals in brackets": r"(?<!\[)\[(?!EP\]|LP\]|CD\]|DVD\]|OST\])[A-Z][A-Z_]{2,30}\](?!\])",
-    "order in brackets": r"(?i:\[(?:insert|enter|add|your|type)\s[^\[\]\n]{1,60}\])",
+    "capitals in brackets": r"(?<!\[)\[(?!EP\]|LP\]|CD\]|DVD\]|OST\])[A-Z][A-Z_]{2,}+\](?!\])",
+    "order in brackets": r"(?i:\[(?:insert|enter|add|your|type)\s[^\[\]\n]++\])",
     "your in parentheses": r"(?i:\(your\s[a-z]+(?:\s[a-z]+)?\))",
-    "percent signs": r"(?<![%\p{L}\p{N}])%[A-Za-z][A-Za-z_]{2,30}%(?![\p{L}\p{N}])",
-    "percent and parentheses": r"%\([A-Za-z_]{1,30}\)[sdfr]",
-    "double underscores": r"(?<![\p{L}\p{N}_])__[A-Z][A-Z_]{1,30}[A-Z]__(?![\p{L}\p{N}_])",
-    "double at signs": r"@@[A-Za-z_]{2,30}@@",
-    "stars and bars": r"\*\|[A-Za-z_:]{2,30}\|\*",
-    "tildes": r"(?<![~\p{L}\p{N}])~[a-z][a-z_]{2,30}~(?![~\p{L}\p{N}])",
-    "colons": r"(?<![:\p{L}\p{N}]):[a-z]{2,20}_?[a-z]{1,20}:(?![:\p{L}\p{N}])",
-    "to do": r"(?<![\p{L}\p{N}])TODO:\s?[a-z_]{2,30}",
-    "crosses": r"(?<![\p{L}\p{N}])X{4,12}(?![\p{L}\p{N}])",
+    "percent signs": r"(?<![%\p{L}\p{N}])%[A-Za-z][A-Za-z_]{2,}+%(?![\p{L}\p{N}])",
+    "percent and parentheses": r"%\([A-Za-z_]++\)[sdfr]",
+    "double underscores": r"(?<![\p{L}\p{N}_])__[A-Z]++(?:_[A-Z]++)*+__(?![\p{L}\p{N}_])",
+    "double at signs": r"@@[A-Za-z_]{2,}+@@",
+    "stars and bars": r"\*\|[A-Za-z_:]{2,}+\|\*",
+    "tildes": r"(?<![~\p{L}\p{N}])~[a-z][a-z_]{2,}+~(?![~\p{L}\p{N}])",
+    "colons": r"(?<![:\p{L}\p{N}]):[a-z]{2,}+(?:_[a-z]++)?:(?![:\p{L}\p{N}])",
+    "to do": r"(?<![\p{L}\p{N}])TODO:\s?[a-z_]{2,}+",
+    "crosses": r"(?<![\p{L}\p{N}])X{4,}+(?![\p{L}\p{N}])",
     "blank": r"(?<=[^\s_-])[ ]?_{4,}(?!_)|(?<!_)_{4,}(?=[ ]?[^\s_-])",
     "undefined": r"(?<!(?:left|is|was|are|were|remains?|an|the|or|mean|means|[\"'“]) )(?<![\p{L}\p{N}\"'“_.])undefined(?![\p{L}\p{N}\"'”_])(?! (?:behaviou?r|values?|variables?|index|symbols?|names?|references?|functions?|terms?|quantit|period))",
 }
@@ -48,9 +49,12 @@ MAY_HOLD_SLOT = r"[{<%@~\[]|__|\*\||\([yY][oO]|:[a-z]{2}|TODO|XXXX|undefined"
 
 # Words by which a sentence tells that it speaks about slots.
 ABOUT_SLOTS = (
-    r"(?iu)(?<![\p{L}\p{N}])(?:slots?|templates?|placeholders?|patterns?|syntax|variables?|percent signs?|brackets?|braces|layout option|config(?:uration)?(?: file)?"
-    r"|expand(?:s|ed)?|exports?|shell|preview|page builder|proof sheet|the tool writes|genre-first tree|(?:is|are) written|escap(?:e|ed|ing)|regex|macros?|shortcodes?|merge tags?)(?![\p{L}\p{N}])"
+    r"(?iu)(?<![\p{L}\p{N}])(?:slots?|templates?|placeholders?|patterns?|syntax|variables?|percent signs?|brackets?|braces|config(?:uration)?(?: file)?"
+    r"|expand(?:s|ed)?|shell|escap(?:e|ed|ing)|regex|macros?|shortcodes?|merge tags?)(?![\p{L}\p{N}])"
 )
+# Verbs that show a slot instead of using it, and words that may stand between.
+SHOWING = r"(?iu:(?<![\p{L}\p{N}])(?:writ(?:e|es|ten|ing)|reads|leaves?|types?|prints?|renders?|spells?|inserts?)(?:\s(?:out|as|also|just|simply|only|the|a))?[\s:]{1,2}[\"“'‘`]?)"
+QUOTED = r"[\"“][^\"“”\n]*+[\"”][^\"“”\n]++[\"“][^\"“”\n]++[\"”]"
 
 # What filler, error messages and script notices open with, lower case. {end} is the end of a clause.
 END = r"(?=\s*(?:$|[.!:;,\-–—(\n]))"
@@ -75,7 +79,7 @@ ERRORS = (
     r"(?:the )?page (?:you asked for )?(?:was )?not found" + END,
     r"die (?:angeforderte )?seite wurde nicht gefunden",
     r"p[aá]gina no encontrada" + END,
-    r"el enlace que seguiste",
+    r"(?:el|la|este|esta) (?:enlace|página|archivo|contenido|dirección)(?: \p{L}{1,20}){0,5} no (?:existe|está disponible|se encuentra)",
     r"page (?:introuvable|non trouvée)" + END,
     r"une erreur (?:interne )?est survenue",
     r"страница не найдена" + END,
@@ -89,14 +93,13 @@ ERRORS = (
     r"(?:fatal |unhandled |uncaught )?(?:error|err|exception) (?:in|at|while \p{L}+) \S{1,80}:",
     r"(?:(?:we are |we['’]re )?sorry|uh-oh|hmm|oops|whoops|ups)[,.!… ]*(?:the|this|that|your) [\p{L} -]{1,30}? (?:is missing|is gone|no longer exists|does(?: not|n['’]t) exist|could not be (?:loaded|found|opened|shown)|failed to (?:open|load)|was not found|cannot be (?:loaded|found|shown))",
     r"the (?:address|url|requested url|file) \S{1,200} (?:does not exist|was not found)",
-    r"go back or search again",
+    r"(?:\p{L}{1,12}(?: \p{L}{1,12})? (?:and|or) )?(?:retry|reload|refresh|search again|try again)(?: (?:the page|in [0-9]{1,6} (?:seconds?|minutes?)|later|now))?" + END,
     r"\{\s*\"(?:status|error|code)\"\s*:\s*(?:[0-9]{3}|\"[^\"\n]{0,80}\"|true)",
     r"could not connect to (?:the )?(?:database|server)",
     r"connection (?:refused|reset|timed out)" + END,
     r"(?:the )?request timed out",
     r"something (?:broke|went wrong)",
     r"too many requests" + END,
-    r"slow down and retry",
     r"access denied" + END,
     r"you (?:don['’]t|do not) have permission",
     r"your session has expired",
@@ -121,7 +124,7 @@ SCRIPTS = (
     r"bitte (?:aktivieren|erlauben) sie (?:javascript|scripts?)",
     r"veuillez activer (?:le )?(?:javascript|les scripts)",
     r"este sitio (?:requiere|necesita) (?:javascript|scripts)",
-    r"act[ií]valo y recarga",
+    r"(?:\p{L}{1,20}lo y )?recarg(?:a|ue|ar) la página",
     r"(?:пожалуйста, )?включите (?:javascript|скрипты)",
     r".{0,30}スクリプトを有効に",
 )
@@ -133,7 +136,7 @@ FURNITURE = (
     r"[^.!?·\n]{1,24}(?:\s+·\s+[^.!?·\n]{1,24}){1,8}",
     r"\S{1,16}(?: \S{1,16})?(?: {2,}\S{1,16}(?: \S{1,16})?){1,8}",
 )
-CODE = r"(?s)```.*?(?:```|$)|~~~.*?(?:~~~|$)|(?m)^(?: {4}|\t).*$"
+CODE = r"(?s)```.*?(?:```|$)|~~~.*?(?:~~~|$)|(?m)^(?: {4}|\t).*$|(?<!`)`[^`\n]++`(?!`)"
 WRAPPER = r"^\s*(?:<noscript>|<p>|<h1>|\*+|#+|>+)?\s*"
 
 
@@ -151,10 +154,10 @@ def sentences(text: Column) -> Column:
 
 
 def slots(text: Column) -> Column:
-    """The unfilled slots of a text: those in a sentence that doesn't speak about slots, outside code."""
+    """The unfilled slots of a text: those in a sentence that neither speaks about slots nor shows them, outside code."""
     prose = F.regexp_replace(text, CODE, "\n")
-    silent = F.filter(sentences(prose), lambda s: ~s.rlike(ABOUT_SLOTS))
     grammar = "|".join(f"(?:{g})" for g in SLOTS.values())
+    silent = F.filter(sentences(prose), lambda s: ~s.rlike(ABOUT_SLOTS) & ~s.rlike(f"{SHOWING}(?:{grammar})") & ~(s.rlike(QUOTED) & s.rlike(f"[\"“](?:{grammar})")))
     found = F.flatten(F.transform(silent, lambda s: F.regexp_extract_all(s, F.lit(grammar), F.lit(0))))
     return F.when(text.rlike(MAY_HOLD_SLOT), found).when(text.isNotNull(), F.array().cast("array<string>"))
 

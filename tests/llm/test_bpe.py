@@ -36,6 +36,19 @@ def test_words_against_merge_loop(ranks):
         assert table[w] == merge_loop(w.encode(), ranks), w
 
 
+def test_long_words_in_a_window(ranks):
+    r, encoder = random.Random(7), TrieEncoder(ranks)
+    tokens = list(ranks)
+    words = [b"ab" * 900, b"a" * 1500, bytes(r.choice(b"etaoin shrdlu") for _ in range(1500)), b"".join(r.choice(tokens) for _ in range(250))]
+    for word in words:
+        assert list(encoder._encode_long(word, step=200)) == merge_loop(word, ranks)
+    decode = {i: t for t, i in ranks.items()}
+    long = "schiff" * 20_000
+    ids = [i for w in encoder.encode_texts([long], regex.compile(PATTERN))[0] for i in w]
+    assert b"".join(decode[i] for i in ids).decode() == long
+    assert len(encoder.children) < 10_000  # not in the trie
+
+
 def test_texts(ranks):
     pattern, encoder = regex.compile(PATTERN), TrieEncoder(ranks)
     texts = ["Hello  world's\n\n end ", "", None, "<|endoftext|>", "東京 é 🎸", "x" * 20_000]

@@ -42,3 +42,17 @@ def test_empty_table_and_clashing_columns(spark):
     assert flag_residue(spark.createDataFrame([], "text string, doc_id int"), "text").count() == 0
     with pytest.raises(ValueError):
         flag_residue(spark.createDataFrame([], "text string, n_slots int"), "text")
+
+
+@pytest.mark.parametrize(
+    "text, is_residue",
+    [
+        ("In a flat tree write {artist} - {album} instead.", False), ("On the sleeve the name is written [ANGLES].", False), ("Will your mailer leave {{first_name}} as it is?", False), ("On the spine every song reads XXXX.", False),
+        ('"[TITLE] - side 2", and you get "Golden Lantern - side 2".', False), ("Use `{artist}` and nothing else.", False),
+        ("Then {artist} toured the islands for a year.", True), ('They called the record "{{album}}" and went home.', True), ("Born in " + "{" + "long_" * 40 + "name}, she sang.", True), ("[insert " + "a very long order " * 20 + "]", True),
+        ("Reload in 30 seconds.", True), ("Turn back and try again later.", True), ("Esta página ya no está disponible.", True), ("Retry was the name of their second record, and it sold well.", False),
+    ],
+)
+def test_paraphrases_of_shown_and_used_slots(spark, text, is_residue):
+    df = spark.createDataFrame([(text,)], "text string")
+    assert flag_residue(df, "text").first()["is_residue"] == is_residue
