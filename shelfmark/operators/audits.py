@@ -43,7 +43,8 @@ def gain_coverage(tracks: DataFrame, roles: Roles = MUSIC) -> DataFrame:
 def track_numbers(tracks: DataFrame, roles: Roles = MUSIC) -> DataFrame:
     """Folders whose track numbers have gaps, repetitions or are missing: gaps, dupes (texts), n_untagged, n_tracks.
 
-    Numbers are counted per folder first; gaps run from 1 to the greatest number.
+    Numbers are counted per folder first; gaps run from 1 to the greatest number and are read off neighbouring numbers,
+    one number or a range ("4-9") each, so that a mistyped number costs no more than any other.
     """
     counted = tracks.groupBy(*roles.folder, F.col(roles.trackno).cast("int").alias("no")).agg(F.count("*").alias("n"))
     numbers = F.array_sort(F.collect_list("no"))
@@ -53,9 +54,15 @@ def track_numbers(tracks: DataFrame, roles: Roles = MUSIC) -> DataFrame:
         F.coalesce(F.sum(F.when(F.col("no").isNull(), F.col("n"))), F.lit(0)).alias("n_untagged"),
         F.sum("n").alias("n_tracks"),
     )
-    gaps = F.when(F.array_max("nos") >= 1, F.array_except(F.sequence(F.lit(1), F.greatest(F.array_max("nos"), F.lit(1))), F.col("nos"))).otherwise(F.array().cast("array<int>"))
+    counted_from = F.concat(F.array(F.lit(0).cast("int")), F.filter("nos", lambda x: x >= 1))
+
+    def between(before: Column, after: Column) -> Column:
+        one, last = (before + 1).cast("string"), (after - 1).cast("string")
+        return F.when(after - before == 2, one).when(after - before > 2, F.concat_ws("-", one, last))
+
+    gaps = F.filter(F.zip_with(counted_from, F.slice(counted_from, 2, 1 << 30), between), lambda g: g.isNotNull())
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ", ")
-    found = folder.withColumn("_gaps", F.coalesce(gaps, F.array().cast("array<int>")))
+    found = folder.withColumn("_gaps", gaps)
     return found.where((F.size("_gaps") > 0) | (F.size("twice") > 0) | (F.col("n_untagged") > 0)).select(*roles.folder, text(F.col("_gaps")).alias("gaps"), text(F.col("twice")).alias("dupes"), "n_untagged", "n_tracks")
 
 

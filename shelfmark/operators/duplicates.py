@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -34,18 +34,25 @@ def several_formats(tracks: DataFrame, roles: Roles = MUSIC) -> DataFrame:
     return counted.where(F.size("exts") > 1).select(*roles.folder, "trackno", "title_key", F.size("exts").cast("bigint").alias("n_formats"), F.array_join("exts", " ").alias("formats"))
 
 
-def greedy_clusters(values: Column, delta: float) -> Column:
-    """An array of structs whose first field is a number, cut into clusters: sorted, a new cluster begins with a value
-    that exceeds the cluster's first one by more than `delta`. Structs with a null number are one cluster at the end."""
-    known = F.array_sort(F.filter(values, lambda v: v["value"].isNotNull()))
-    unknown = F.filter(values, lambda v: v["value"].isNull())
-    # each value with the first one of its cluster; equal first ones are one cluster
-    anchored = F.aggregate(
-        known,
-        F.array().cast("array<double>"),
-        lambda done, v: F.array_append(done, F.when((F.size(done) > 0) & (v["value"] - F.try_element_at(done, F.lit(-1)) <= delta), F.try_element_at(done, F.lit(-1))).otherwise(v["value"])),
-    )
-    return F.concat(F.zip_with(known, anchored, lambda v, a: F.struct(a.alias("anchor"), v.alias("member"))), F.transform(unknown, lambda v: F.struct(F.lit(None).cast("double").alias("anchor"), v.alias("member"))))
+def greedy_anchors(values: list[float], delta: float) -> list[float]:
+    """Of sorted numbers the first one of each one's cluster: a new cluster begins with a value that exceeds the first
+    one of the cluster by more than `delta`. One pass."""
+    out: list[float] = []
+    for value in values:
+        out.append(value if not out or value - out[-1] > delta else out[-1])
+    return out
+
+
+def anchored(durations: DataFrame, keys: list[str], values: str, delta: float) -> DataFrame:
+    """The distinct known numbers in the array `values` of each key, with the anchor of their cluster: keys, value, anchor."""
+
+    @F.pandas_udf("array<double>")
+    def anchors(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda a: greedy_anchors(list(a), delta))
+
+    sorted_values = durations.select(*keys, F.array_sort(F.col(values)).alias("_v"))
+    pairs = sorted_values.withColumn("_a", anchors("_v")).select(*keys, F.explode(F.arrays_zip("_v", "_a")).alias("_p"))
+    return pairs.select(*keys, F.col("_p._v").alias("value"), F.col("_p._a").alias("anchor"))
 
 
 def track_clusters(tracks: DataFrame, delta: float = 2.0, roles: Roles = MUSIC) -> DataFrame:
@@ -62,10 +69,9 @@ def track_clusters(tracks: DataFrame, delta: float = 2.0, roles: Roles = MUSIC)
     counted = keyed.groupBy("norm_artist", "norm_title", "value", "place").agg(F.count("*").alias("n"))
     several = counted.groupBy("norm_artist", "norm_title").agg(F.min("place").alias("a"), F.max("place").alias("b")).where("a <> b").select("norm_artist", "norm_title")
     held = counted.join(several, ["norm_artist", "norm_title"], "left_semi")
-    durations = held.groupBy("norm_artist", "norm_title").agg(F.collect_set(F.struct("value")).alias("values"))
-    clusters = durations.select(F.col("norm_artist").alias("_a"), F.col("norm_title").alias("_t"), F.explode(greedy_clusters(F.col("values"), delta)).alias("c"))
-    clusters = clusters.select("_a", "_t", F.col("c.anchor").alias("anchor"), F.col("c.member.value").alias("_v"))
-    met = held.join(clusters, (F.col("norm_artist") == F.col("_a")) & (F.col("norm_title") == F.col("_t")) & F.col("value").eqNullSafe(F.col("_v")))
+    durations = held.where("value is not null").groupBy("norm_artist", "norm_title").agg(F.collect_set("value").alias("values"))
+    clusters = anchored(durations.withColumnsRenamed({"norm_artist": "_a1", "norm_title": "_t1"}), ["_a1", "_t1"], "values", delta).withColumnRenamed("value", "_v1")
+    met = held.join(clusters, (F.col("norm_artist") == F.col("_a1")) & (F.col("norm_title") == F.col("_t1")) & (F.col("value") == F.col("_v1")), "left")
     return met.groupBy("norm_artist", "norm_title", "anchor").agg(F.sum("n").alias("n_copies"), F.count_distinct("place").alias("n_dirs")).where("n_dirs > 1")
 
 
@@ -146,9 +152,9 @@ def content_duplicates(files: DataFrame, content: str, id_column: str) -> DataFr
 def content_tiers(prints: DataFrame) -> DataFrame:
     """Duplicates by fingerprints (FINGERPRINT rows): tier, key, n_files. Files of equal content drop out of the lower
     tiers; then equal sound, then equal head and tail for files whose sound could not be located. Unreadable files none."""
-    good = prints.where("error is null").withColumn("same", F.count("*").over(W.partitionBy("full")))
-    exact = good.where("same > 1").groupBy(F.col("full").alias("key")).agg(F.count("*").alias("n_files")).select(F.lit("exact").alias("tier"), "key", "n_files")
-    rest = good.where("same = 1")
+    good = prints.where("error is null")
+    exact = good.groupBy(F.col("full").alias("key")).agg(F.count("*").alias("n_files")).where("n_files > 1")
+    rest = good.join(exact.select(F.col("key").alias("full")), "full", "left_anti")
     stream = rest.where("stream is not null").groupBy(F.col("stream").alias("key")).agg(F.count("*").alias("n_files")).where("n_files > 1").select(F.lit("stream").alias("tier"), "key", "n_files")
     sampled = rest.where("stream is null").groupBy(F.concat_ws(":", "head", "tail").alias("key")).agg(F.count("*").alias("n_files")).where("n_files > 1").select(F.lit("sampled").alias("tier"), "key", "n_files")
-    return exact.unionByName(stream).unionByName(sampled)
+    return exact.select(F.lit("exact").alias("tier"), "key", "n_files").unionByName(stream).unionByName(sampled)

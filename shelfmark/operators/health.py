@@ -26,11 +26,12 @@ def grade(score: Column) -> Column:
     return out
 
 
-def album_scores(tracks: DataFrame, art: DataFrame, min_kbps: int = 192, min_res: int = 500, roles: Roles = MUSIC) -> DataFrame:
+def album_scores(tracks: DataFrame, art: DataFrame | None, min_kbps: int = 192, min_res: int = 500, roles: Roles = MUSIC) -> DataFrame:
     """One row per folder: score, grade, n_files, and what each lens costs.
 
     art: root, dir, has_cover, cover_width, cover_height, has_embedded; a folder that is missing there has no art, and
-    an unknown size of the cover costs nothing. One aggregation of the tracks, joined once.
+    an unknown size of the cover costs nothing. Without a table of art nothing is known of it and the lens costs
+    nothing. One aggregation of the tracks, joined once.
     """
     folder = tracks.groupBy(*roles.folder).agg(
         F.count("*").alias("n_files"),
@@ -38,7 +39,9 @@ def album_scores(tracks: DataFrame, art: DataFrame, min_kbps: int = 192, min_res
         F.count_if(F.col(roles.track_gain)).alias("n_gain"),
         F.count_if(below_bitrate(roles, min_kbps)).alias("n_low"),
     )
-    joined = folder.join(art, [*roles.folder], "left")
+    if art is None:
+        unknown = {"has_cover": F.lit(True), "has_embedded": F.lit(False), "cover_width": F.lit(None).cast("int"), "cover_height": F.lit(None).cast("int")}
+    joined = folder.withColumns(unknown) if art is None else folder.join(art, [*roles.folder], "left")
     covered, embedded = F.coalesce("has_cover", F.lit(False)), F.coalesce("has_embedded", F.lit(False))
     small = F.coalesce(F.least("cover_width", "cover_height") < min_res, F.lit(False))
     costs = {

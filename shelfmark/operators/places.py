@@ -12,7 +12,7 @@ from shelfmark.functions.normalize import path_component
 
 def primary_genre(genre: str):
     """The first of several genres joined by semicolons or slashes, and the others: a struct of primary and ignored."""
-    parts = F.filter(F.transform(F.split(F.coalesce(F.col(genre), F.lit("")), "[;/]"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.coalesce(F.col(genre), F.lit("")), "[;/]"), lambda p: F.trim(p)), lambda p: p != "")
     return F.struct(F.coalesce(F.try_element_at(parts, F.lit(1)), F.lit("")).alias("primary"), F.array_join(F.slice(parts, 2, 1 << 30), "; ").alias("ignored"))
 
 
@@ -44,15 +44,17 @@ def plan_moves(albums: DataFrame, existing: DataFrame | None = None, allow_new_g
     planned = joined.withColumn("issue", issue).withColumn("dst", F.when(F.col("issue").isNull(), F.concat_ws("/", target, "artist", last)))
     unsafe = F.concat(F.coalesce("unit", F.lit("")), F.coalesce("dst", F.lit(""))).rlike(r"[\t\n]")
     planned = planned.withColumn("issue", F.when(F.col("dst").isNotNull() & unsafe, "UNSAFE NAME").otherwise(F.col("issue")))
-    open_ = F.col("issue").isNull()
-    of_unit = W.partitionBy("unit", open_).orderBy("path")
-    first_dst = F.first("dst").over(of_unit)
-    planned = planned.withColumn("issue", F.when(open_ & (F.row_number().over(of_unit) > 1), F.when(F.col("dst") == first_dst, "SAME UNIT").otherwise("DISC GENRE MISMATCH")).otherwise(F.col("issue")))
-    of_dst = W.partitionBy("dst", F.col("issue").isNull()).orderBy("path")
-    planned = planned.withColumn("issue", F.when(F.col("issue").isNull() & (F.row_number().over(of_dst) > 1), "COLLISION").otherwise(F.col("issue")))
+    # only folders that are to move compete for a unit or a destination; those that stay, most of them, meet no window
+    settled, moving = planned.where("issue is not null"), planned.where("issue is null")
+    of_unit = W.partitionBy("unit").orderBy("path", "dst")
+    later = F.when(F.col("dst") == F.first("dst").over(of_unit), "SAME UNIT").otherwise("DISC GENRE MISMATCH")
+    ranked = moving.withColumn("issue", F.when(F.row_number().over(of_unit) > 1, later))
+    of_dst = W.partitionBy("dst").orderBy("path", "ignored")
+    first = ranked.where("issue is null").withColumn("issue", F.when(F.row_number().over(of_dst) > 1, F.lit("COLLISION")))
     if existing is not None:
         there = existing.select(F.col("dst").alias("_there")).distinct()
-        planned = planned.join(there, F.col("dst") == F.col("_there"), "left").withColumn("issue", F.when(F.col("issue").isNull() & F.col("_there").isNotNull(), "DEST EXISTS").otherwise(F.col("issue")))
+        first = first.join(there, F.col("dst") == F.col("_there"), "left").withColumn("issue", F.when(F.col("issue").isNull() & F.col("_there").isNotNull(), "DEST EXISTS").otherwise(F.col("issue"))).drop("_there")
+    planned = settled.unionByName(ranked.where("issue is not null")).unionByName(first)
     return planned.select(F.coalesce("unit", "path").alias("src"), "dst", "kind", "issue", "path", "ignored")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions import decode, layout, normalize, render
-from shelfmark.functions.normalize import sql_loose_key, sql_name_key
+from shelfmark.functions.normalize import SQL_FEATURING, sql_deduplicated_tag, sql_loose_key, sql_name_key, sql_tag_text
 from shelfmark.functions.text import trim_all
 from shelfmark.operators import art, audits, authority, dominant, duplicates, health, matching, places, playlists, snapshot, stats, tagplans
 from shelfmark.rules import compile_rule
@@ -222,7 +222,9 @@ def audit_replaygain_buckets(spark, d):
 @query("audit_albums_numbers", T + """
 , f AS (SELECT root, dir, list_sort(list(DISTINCT trackno) FILTER (WHERE trackno IS NOT NULL)) AS nos, count(*) FILTER (WHERE trackno IS NULL) AS n_untagged, count(*) AS n_tracks FROM t GROUP BY root, dir
 ), twice AS (SELECT root, dir, string_agg(CAST(trackno AS VARCHAR), ', ' ORDER BY trackno) AS dupes FROM (SELECT root, dir, trackno FROM t WHERE trackno IS NOT NULL GROUP BY ALL HAVING count(*) > 1) GROUP BY root, dir
-), g AS (SELECT f.*, coalesce(dupes, '') AS dupes, coalesce(array_to_string([x FOR x IN range(1, coalesce(nos[-1], 0) + 1) IF NOT list_contains(nos, CAST(x AS INTEGER))], ', '), '') AS gaps FROM f LEFT JOIN twice USING (root, dir))
+), absent AS (SELECT root, dir, x, x - row_number() OVER (PARTITION BY root, dir ORDER BY x) AS run FROM (SELECT root, dir, nos, unnest(range(1, coalesce(nos[-1], 0) + 1)) AS x FROM f) WHERE NOT list_contains(nos, CAST(x AS INTEGER))
+), missing AS (SELECT root, dir, string_agg(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE a || '-' || b END, ', ' ORDER BY a) AS gap FROM (SELECT root, dir, min(x) AS a, max(x) AS b FROM absent GROUP BY root, dir, run) GROUP BY root, dir
+), g AS (SELECT f.*, coalesce(dupes, '') AS dupes, coalesce(gap, '') AS gaps FROM f LEFT JOIN twice USING (root, dir) LEFT JOIN missing USING (root, dir))
 SELECT root, dir, gaps, dupes, n_untagged, n_tracks FROM g WHERE gaps <> '' OR dupes <> '' OR n_untagged > 0""")
 def audit_albums_numbers(spark, d):
     return audits.track_numbers(current(spark, d))
@@ -484,6 +486,10 @@ def genre_map_compliance(spark, d):
 # --- folder plans -----------------------------------------------------------------------------------------------------
 
 
+#: Folders of one disc, as SQL finds them.
+DISC_NAMES = r"(?i)^(?:" + "|".join(layout.DISC_WORDS) + r")[\s._-]*[0-9]+$"
+
+
 def _albums_to_place(spark: SparkSession, d: str) -> DataFrame:
     """Album folders at several depths: of some, the genre folder is there already; some hold discs, some lie too deep."""
     albums = dominant.album_folders(current(spark, d)).where("genre is not null")
@@ -496,18 +502,39 @@ def _albums_to_place(spark: SparkSession, d: str) -> DataFrame:
 @query("folder_plan_classify", T + ALBUM_SQL + r"""
 , p AS (SELECT CASE length(dir) % 5 WHEN 0 THEN trim(regexp_split_to_array(genre, '[;/]')[1]) || '/' || dir WHEN 1 THEN dir || '/CD1' WHEN 2 THEN 'a/b/c/' || dir ELSE dir END AS dir FROM albums WHERE genre IS NOT NULL
 ), q AS (SELECT dir, [x FOR x IN string_split(dir, '/') IF x <> ''] AS w FROM p)
-SELECT CASE WHEN len(w) = 0 THEN 'skip' WHEN len(w) = 1 THEN 'loose' WHEN len(w) = 2 OR (len(w) = 3 AND regexp_matches(w[3], '(?i)^(?:cd|disc|disk|dvd|side|vinyl)[\s._-]*[0-9]+$')) THEN 'album'
-  WHEN len(w) = 3 OR (len(w) = 4 AND regexp_matches(w[4], '(?i)^(?:cd|disc|disk|dvd|side|vinyl)[\s._-]*[0-9]+$')) THEN 'organized' ELSE 'toodeep' END AS kind, count(*) AS n_dirs FROM q GROUP BY 1""")
+SELECT CASE WHEN len(w) = 0 THEN 'skip' WHEN len(w) = 1 THEN 'loose' WHEN len(w) = 2 OR (len(w) = 3 AND regexp_matches(w[3], 'DISC_NAMES')) THEN 'album'
+  WHEN len(w) = 3 OR (len(w) = 4 AND regexp_matches(w[4], 'DISC_NAMES')) THEN 'organized' ELSE 'toodeep' END AS kind, count(*) AS n_dirs FROM q GROUP BY 1""".replace("DISC_NAMES", DISC_NAMES))
 def folder_plan_classify(spark, d):
     return _albums_to_place(spark, d).select(layout.place(F.col("dir"))["kind"].alias("kind")).groupBy("kind").agg(F.count("*").alias("n_dirs"))
 
 
-@query("folder_plan_moves")
+def _plan_sql(allow_new_genre: bool, refile: bool) -> str:
+    gated = "false" if allow_new_genre else "EXISTS (SELECT 1 FROM vocabulary)"
+    return T + ALBUM_SQL + rf"""
+, p AS (SELECT CASE length(dir) % 5 WHEN 0 THEN trim(regexp_split_to_array(genre, '[;/]')[1]) || '/' || dir WHEN 1 THEN dir || '/CD1' WHEN 2 THEN 'a/b/c/' || dir ELSE dir END AS path, genre FROM albums WHERE genre IS NOT NULL
+), q AS (SELECT path, [x FOR x IN string_split(path, '/') IF x <> ''] AS w, [trim(x, ' ') FOR x IN regexp_split_to_array(genre, '[;/]') IF trim(x, ' ') <> ''] AS gs FROM p
+), r AS (SELECT *, len(w) = 2 OR (len(w) = 3 AND regexp_matches(w[3], 'DISC_NAMES')) AS flat, coalesce(gs[1], '') AS tag, array_to_string(gs[2:], '; ') AS ignored FROM q
+), s AS (SELECT *, NOT flat AND (len(w) = 3 OR (len(w) = 4 AND regexp_matches(w[4], 'DISC_NAMES'))) AS organized,
+  regexp_replace(trim(regexp_replace(translate(tag, '<>:"/\|?*', '         '), '[\s\p{{Z}}]+', ' ', 'g')), '[. ]+$', '') AS legal FROM r
+), u AS (SELECT path, ignored, tag, CASE WHEN legal = '' THEN 'Unknown' ELSE legal END AS safe, CASE WHEN len(w) = 0 THEN 'skip' WHEN len(w) = 1 THEN 'loose' WHEN flat THEN 'album' WHEN organized THEN 'organized' ELSE 'toodeep' END AS kind,
+  CASE WHEN organized THEN w[1] END AS current, CASE WHEN organized THEN w[2] WHEN flat OR len(w) = 1 THEN w[1] END AS artist, CASE WHEN organized THEN w[3] WHEN flat THEN w[2] END AS album,
+  CASE WHEN (flat AND len(w) = 3) OR (organized AND len(w) = 4) THEN array_to_string(w[:-2], '/') ELSE array_to_string(w, '/') END AS unit FROM s
+), vocabulary AS (SELECT lower(current) AS folded, max(current) AS known FROM u WHERE kind = 'organized' GROUP BY 1
+), v AS (SELECT *, CASE WHEN kind = 'skip' THEN 'SKIP' WHEN kind = 'toodeep' THEN 'TOO DEEP' WHEN tag = '' THEN 'NO GENRE' WHEN kind = 'organized' AND lower(safe) = lower(current) THEN 'IN PLACE'
+  WHEN kind = 'organized' AND {"false" if refile else "true"} THEN 'NOTE' WHEN known IS NULL AND {gated} THEN 'UNKNOWN GENRE' END AS issue FROM u LEFT JOIN vocabulary ON lower(safe) = folded
+), x AS (SELECT * REPLACE (CASE WHEN issue IS NULL AND regexp_matches(unit || concat_ws('/', coalesce(known, safe), artist, CASE WHEN kind = 'loose' THEN 'Singles' ELSE album END), '[\t\n]') THEN 'UNSAFE NAME' ELSE issue END AS issue),
+  CASE WHEN issue IS NULL THEN concat_ws('/', coalesce(known, safe), artist, CASE WHEN kind = 'loose' THEN 'Singles' ELSE album END) END AS dst FROM v
+), y AS (SELECT * REPLACE (CASE WHEN issue IS NULL AND row_number() OVER (PARTITION BY unit, issue IS NULL ORDER BY path, dst) > 1 THEN CASE WHEN dst = first_value(dst) OVER (PARTITION BY unit, issue IS NULL ORDER BY path, dst) THEN 'SAME UNIT' ELSE 'DISC GENRE MISMATCH' END ELSE issue END AS issue) FROM x
+), z AS (SELECT * REPLACE (CASE WHEN issue IS NULL AND row_number() OVER (PARTITION BY dst, issue IS NULL ORDER BY path, ignored) > 1 THEN 'COLLISION' ELSE issue END AS issue) FROM y)
+""".replace("DISC_NAMES", DISC_NAMES)
+
+
+@query("folder_plan_moves", _plan_sql(False, False) + " SELECT unit AS src, dst, kind, issue, path, ignored FROM z")
 def folder_plan_moves(spark, d):
     return places.plan_moves(_albums_to_place(spark, d))
 
 
-@query("folder_plan_issues")
+@query("folder_plan_issues", _plan_sql(True, True) + " SELECT coalesce(issue, 'MOVE') AS issue, count(*) AS n_dirs FROM z GROUP BY 1")
 def folder_plan_issues(spark, d):
     plan = places.plan_moves(_albums_to_place(spark, d), allow_new_genre=True, refile=True)
     return plan.groupBy(F.coalesce("issue", F.lit("MOVE")).alias("issue")).agg(F.count("*").alias("n_dirs"))
@@ -555,12 +582,17 @@ def tag_normalize_text(spark, d):
     return current(spark, d).where("title is not null").select("track_id", normalize.tag_text(F.col("title")).alias("clean"))
 
 
-@query("tag_dedupe_genres")
+@query("tag_dedupe_genres", T + sql_deduplicated_tag("t", "track_id", "genre"))
 def tag_dedupe_genres(spark, d):
     return current(spark, d).where("genre is not null").select("track_id", normalize.deduplicated_tag(F.col("genre")).alias("deduplicated"))
 
 
-@query("tag_restamp_artists")
+@query("tag_restamp_artists", T + rf"""
+, spelled AS (SELECT {sql_name_key("display", "'" + '"')} AS key, min(display) AS spelling FROM genre_map GROUP BY 1
+), tagged AS (SELECT track_id, artist, {sql_tag_text("artist")} AS tt FROM t WHERE artist IS NOT NULL
+), based AS (SELECT *, trim(regexp_replace(tt, '{SQL_FEATURING}(?s:.*)$', '\1')) AS base, regexp_matches(tt, '{SQL_FEATURING}') AS credits, trim(regexp_extract(tt, '{SQL_FEATURING}(.*)$', 2)) AS guest FROM tagged
+), clean AS (SELECT *, CASE WHEN ends_with(guest, ')') AND length(guest) - length(replace(guest, ')', '')) > length(guest) - length(replace(guest, '(', '')) THEN rtrim(guest[:-2]) ELSE guest END AS g, {sql_name_key("base", "'" + '"')} AS key FROM based)
+SELECT track_id, artist, CASE WHEN spelling IS NULL THEN artist WHEN credits THEN spelling || ' feat. ' || g ELSE spelling END AS planned_artist FROM clean LEFT JOIN spelled USING (key)""")
 def tag_restamp_artists(spark, d):
     spelled = table(spark, d, "genre_map").groupBy(normalize.folder_key(F.col("display")).alias("key")).agg(F.min("display").alias("spelling"))
     return matching.restamped_artists(current(spark, d).where("artist is not null").select("track_id", "artist"), "artist", spelled)

@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 _S, _L, _I, _D, _B = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType(), T.BooleanType()
 
@@ -92,5 +93,9 @@ def extension(filename: Column) -> Column:
 
 
 def latest_delivery(df: DataFrame, key: str) -> DataFrame:
-    """One row per key where later deliveries repeat a row; null keys are one key."""
-    return df.dropDuplicates([key])
+    """The latest delivery of every key, by `loaded_at`; null keys are one key, of equally late rows any one stays.
+
+    The window keeps one row per key and task before it is shuffled.
+    """
+    place = F.row_number().over(W.partitionBy(key).orderBy(F.desc("loaded_at")))
+    return df.withColumn("_place", place).where("_place = 1").drop("_place")

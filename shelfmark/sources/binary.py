@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import mmap
 import os
 from collections.abc import Iterator
 
@@ -19,27 +20,24 @@ def image_size(data: bytes | None) -> tuple[int, int] | None:
     """Width and height of a PNG or JPEG image; None for anything else or a broken header."""
     if not data:
         return None
-    if data[:8] == b"\x89PNG\r\n\x1a\n" and len(data) >= 24:
-        return int.from_bytes(data[16:20]), int.from_bytes(data[20:24])
+    if data[:8] == b"\x89PNG\r\n\x1a\n":
+        return (int.from_bytes(data[16:20]), int.from_bytes(data[20:24])) if data[12:16] == b"IHDR" and len(data) >= 24 else None
     if data[:2] != b"\xff\xd8":
         return None
     at = 2
-    while at + 9 <= len(data):
-        if data[at] != 0xFF:
-            return None
+    while (at := data.find(b"\xff", at)) >= 0 and at + 9 <= len(data):
         kind = data[at + 1]
         if kind == 0xFF:
             at += 1
-            continue
-        if kind in (0x01, *range(0xD0, 0xD9)):
+        elif kind in (0x00, 0x01, *range(0xD0, 0xD9)):  # a stuffed byte, or a marker without a length
             at += 2
-            continue
-        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+        elif 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
             return int.from_bytes(data[at + 7 : at + 9]), int.from_bytes(data[at + 5 : at + 7])
-        length = int.from_bytes(data[at + 2 : at + 4])
-        if length < 2:
-            return None
-        at += 2 + length
+        else:
+            length = int.from_bytes(data[at + 2 : at + 4])
+            if length < 2:
+                return None
+            at += 2 + length
     return None
 
 
@@ -121,18 +119,64 @@ def ape_items(data: bytes) -> dict[str, bytes] | None:
     return out if at == stop else None
 
 
+def _digest(view, *spans: tuple[int, int]) -> str:
+    """The digest of some spans of a file, read in chunks."""
+    made = hashlib.sha256()
+    for start, end in spans:
+        for at in range(start, end, CHUNK):
+            made.update(view[at : min(at + CHUNK, end)])
+    return made.hexdigest()
+
+
 def fingerprint(path: str) -> dict:
-    """Digests of a file: of all bytes, of the sound, of the first and last 64 KiB (trailing tags aside)."""
+    """Digests of a file: of all bytes, of the sound, of the first and last 64 KiB (trailing tags aside).
+
+    The file is mapped and read in chunks, so that its size does not matter to the memory.
+    """
     out = {"path": path, "size": None, "full": None, "stream": None, "head": None, "tail": None, "error": None}
     try:
         with open(path, "rb") as file:
-            data = file.read()
+            size = os.fstat(file.fileno()).st_size
+            view = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) if size else b""
     except OSError as error:
         return out | {"error": str(error)}
-    regions = audio_regions(data, os.path.splitext(path)[1].lower())
-    digest = lambda b: hashlib.sha256(b).hexdigest()
-    body = data[: len(data) - trailing_tags(data)]
-    return out | {"size": len(data), "full": digest(data), "head": digest(data[:EDGE]), "tail": digest(body[-EDGE:]), "stream": digest(b"".join(data[a:b] for a, b in regions)) if regions else None}
+    regions = audio_regions(view, os.path.splitext(path)[1].lower())
+    body = size - trailing_tags(view)
+    return out | {
+        "size": size, "full": _digest(view, (0, size)), "head": _digest(view, (0, min(EDGE, size))), "tail": _digest(view, (max(0, body - EDGE), body)),
+        "stream": _digest(view, *regions) if regions else None,
+    }
+
+
+def head_tail_equal(one: str, other: str) -> bool:
+    """Whether two files agree in size and in their first and last 64 KiB; False if one cannot be read."""
+    try:
+        sizes = os.path.getsize(one), os.path.getsize(other)
+        if sizes[0] != sizes[1]:
+            return False
+        with open(one, "rb") as a, open(other, "rb") as b:
+            for at in (0, max(0, sizes[0] - EDGE)):
+                a.seek(at)
+                b.seek(at)
+                if a.read(EDGE) != b.read(EDGE):
+                    return False
+        return True
+    except OSError:
+        return False
+
+
+def image_pixels(data: bytes | None) -> int | None:
+    """Width times height of an image; None for what is none."""
+    size = image_size(data)
+    return size and size[0] * size[1]
+
+
+def decoded(data: bytes) -> str:
+    """What a tool printed: UTF-8, or Latin-1 where it is not."""
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
 
 
 def fingerprints(paths: DataFrame) -> DataFrame:

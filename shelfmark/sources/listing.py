@@ -34,25 +34,61 @@ def walk(root: str, top: str, include_hidden: bool) -> Iterator[tuple]:
             yield root, "" if relative == "." else relative.replace(os.sep, "/"), name, ext, info.st_size, int(info.st_mtime)
 
 
+def _files_here(root: str, folder: str) -> Iterator[tuple]:
+    """The files directly in a folder, as LISTED rows."""
+    relative = os.path.relpath(folder, root).replace(os.sep, "/")
+    try:
+        with os.scandir(folder) as entries:
+            found = sorted((e.name, e.stat()) for e in entries if e.is_file())
+    except OSError:
+        return
+    for name, info in found:
+        yield root, "" if relative == "." else relative, name, os.path.splitext(name)[1].lower(), info.st_size, int(info.st_mtime)
+
+
+def _folders_here(folder: str, include_hidden: bool) -> list[str]:
+    try:
+        with os.scandir(folder) as entries:
+            return sorted(e.path for e in entries if e.is_dir(follow_symlinks=False) and (include_hidden or not e.name.startswith(".")))
+    except OSError:
+        return []
+
+
 def list_files(spark: SparkSession, roots: str | Iterable[str], include_hidden: bool = False) -> DataFrame:
-    """LISTED rows of all files below the roots. Each folder directly below a root is walked by a task of its own; the
-    trees must be mounted where the executors run."""
+    """LISTED rows of all files below the roots; a folder or file that cannot be read is left out.
+
+    The driver looks at the roots alone, a task at each folder below one, and every folder below that is walked by a task
+    of its own. No folder is read twice but those two levels; the trees must be mounted where the executors run.
+    """
     ship(spark)
-    tops = []
-    for root in as_roots(roots):
-        with os.scandir(root) as entries:
-            folders = sorted(e.name for e in entries if e.is_dir(follow_symlinks=False) and (include_hidden or not e.name.startswith(".")))
-        tops += [(root, os.path.join(root, f), True) for f in folders] + [(root, root, False)]
+    upper = [(root, folder) for root in as_roots(roots) for folder in (root, *_folders_here(root, include_hidden))]
+    columns = [f.name for f in LISTED]
+
+    def here(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            for root, folder in batch.itertuples(index=False):
+                yield pd.DataFrame(list(_files_here(root, folder)), columns=columns)
+
+    def below(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            for root, folder in batch.itertuples(index=False):
+                if folder != root:
+                    yield pd.DataFrame([(root, sub) for sub in _folders_here(folder, include_hidden)], columns=["root", "folder"])
 
-    def run(batches):
+    def deep(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for batch in batches:
-            for root, top, deep in batch.itertuples(index=False):
-                rows = list(walk(root, top, include_hidden)) if deep else [r for r in walk(root, top, include_hidden) if r[1] == ""]
-                yield pd.DataFrame(rows, columns=[f.name for f in LISTED])
+            for root, folder in batch.itertuples(index=False):
+                yield pd.DataFrame(list(walk(root, folder, include_hidden)), columns=columns)
 
-    return spark.createDataFrame(tops, "root string, top string, deep boolean").repartition(max(1, min(len(tops), 1000))).mapInPandas(run, LISTED)
+    tasks = max(spark.sparkContext.defaultParallelism, 1)
+    tops = spark.createDataFrame(upper, "root string, folder string").repartition(max(1, min(len(upper), 4 * tasks)))
+    return tops.mapInPandas(here, LISTED).unionByName(tops.mapInPandas(below, "root string, folder string").repartition(4 * tasks).mapInPandas(deep, LISTED))
 
 
 def audio_files(listing: DataFrame) -> DataFrame:

@@ -81,11 +81,12 @@ def parse_loudness(lines: DataFrame, group: list[str]) -> DataFrame:
 
 
 def write_lines(df: DataFrame, path: str, order: list[str], header: list[str] | None = None) -> None:
-    """Write the column `line` as one text file in the order of some columns, the header first.
+    """Write the column `line` as text in the order of some columns, the header first.
 
-    For reports, which are bounded by their reader: one task sorts and writes them.
+    The lines are sorted by range, so that every task writes one numbered part; the parts in the order of their names
+    are the report. A small report is a single part.
     """
     body = df.select(F.lit(len(header or [])).alias("_k"), *(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), "line")
     heads = df.sparkSession.createDataFrame(list(enumerate(header or [])), "_k int, line string")
     out = body.unionByName(heads, allowMissingColumns=True)
-    out.repartition(1).sortWithinPartitions("_k", *(f"_o{i}" for i in range(len(order)))).select("line").write.mode("overwrite").text(path)
+    out.orderBy("_k", *(f"_o{i}" for i in range(len(order)))).select("line").write.mode("overwrite").text(path)
