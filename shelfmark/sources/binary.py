@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shelfmark.schema import FINGERPRINT
 
@@ -128,26 +129,43 @@ def _digest(view, *spans: tuple[int, int]) -> str:
     return made.hexdigest()
 
 
-def fingerprint(path: str) -> dict:
-    """Digests of a file: of all bytes, of the sound, of the first and last 64 KiB (trailing tags aside).
-
-    The file is mapped and read in chunks, so that its size does not matter to the memory.
-    """
-    out = {"path": path, "size": None, "full": None, "stream": None, "head": None, "tail": None, "error": None}
-    try:
-        with open(path, "rb") as file:
-            size = os.fstat(file.fileno()).st_size
-            view = mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) if size else b""
-    except OSError as error:
-        return out | {"error": str(error)}
-    regions = audio_regions(view, os.path.splitext(path)[1].lower())
+def prints(view, size: int, ext: str) -> dict:
+    """Digests of the bytes of a file: of all, of the sound, of the first and last 64 KiB (trailing tags aside)."""
+    regions = audio_regions(view, ext)
     body = size - trailing_tags(view)
-    return out | {
+    return {
         "size": size, "full": _digest(view, (0, size)), "head": _digest(view, (0, min(EDGE, size))), "tail": _digest(view, (max(0, body - EDGE), body)),
-        "stream": _digest(view, *regions) if regions else None,
+        "stream": _digest(view, *regions) if regions else None, "error": None,
     }
 
 
+def mapped(path: str):
+    """A view of a file's bytes that is read as it is used. OSError if the file cannot be opened."""
+    with open(path, "rb") as file:
+        return mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ) if os.fstat(file.fileno()).st_size else b""
+
+
+def fingerprint(path: str) -> dict:
+    """FINGERPRINT of a file, which is mapped and read in chunks, so that its size does not matter to the memory."""
+    try:
+        view = mapped(path)
+    except OSError as error:
+        return {"path": path, "size": None, "full": None, "stream": None, "head": None, "tail": None, "error": str(error)}
+    return {"path": path} | prints(view, len(view), os.path.splitext(path)[1].lower())
+
+
+def fingerprints_of(files: DataFrame, path: str, content: str, ext: str) -> DataFrame:
+    """FINGERPRINT rows of contents at hand, as a table of files that were read whole; null contents give no row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [{"path": p} | prints(c, len(c), e) for p, c, e in zip(batch["p"], batch["c"], batch["e"])]
+            yield pd.DataFrame(rows, columns=[f.name for f in FINGERPRINT])
+
+    held = files.select(F.col(path).cast("string").alias("p"), F.col(content).alias("c"), F.col(ext).alias("e")).where("c is not null")
+    return held.mapInPandas(run, FINGERPRINT)
+
+
 def head_tail_equal(one: str, other: str) -> bool:
     """Whether two files agree in size and in their first and last 64 KiB; False if one cannot be read."""
     try:
@@ -189,23 +207,48 @@ def fingerprints(paths: DataFrame) -> DataFrame:
     return paths.select("path").mapInPandas(run, FINGERPRINT)
 
 
-def read_tags(paths: DataFrame) -> DataFrame:
-    """path and raw_tags (key to values) of audio files, by the tag library if it is installed; else null maps.
+CONTENTS = "path string, raw_tags map<string,array<string>>, frames array<string>, facts map<string,string>, art binary, art_mime string"
+
+
+def _contents_row(path: str, view, ext: str) -> tuple:
+    from shelfmark.sources.containers import front_cover, read_contents
+
+    found = read_contents(view, ext)
+    cover = front_cover(found.pictures)
+    return path, found.tags, found.frames, found.facts, cover.data if cover else None, cover.mime if cover else None
+
+
+def read_files(paths: DataFrame) -> DataFrame:
+    """CONTENTS rows of a column `path`: tags, identifiers of ID3 frames, facts of the stream and the front cover.
 
-    A file that cannot be read has a null map: it is a file without tags, not a failure.
+    A file that cannot be read has nulls: it is a file without tags, not a failure. Each file is mapped where its task
+    runs, so that only the parts that hold tags are read.
     """
 
-    def one(path: str) -> dict[str, list[str]] | None:
-        try:
-            import mutagen
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                try:
+                    rows.append(_contents_row(path, mapped(path), os.path.splitext(path)[1].lower()))
+                except OSError:
+                    rows.append((path, None, None, None, None, None))
+            yield pd.DataFrame(rows, columns=["path", "raw_tags", "frames", "facts", "art", "art_mime"])
+
+    return paths.select("path").mapInPandas(run, CONTENTS)
 
-            tags = mutagen.File(path).tags
-            return {str(k).lower(): [str(x) for x in (v if isinstance(v, list) else getattr(v, "text", [v]))] for k, v in tags.items()}
-        except Exception:
-            return None
+
+def read_bytes(files: DataFrame, path: str, content: str, ext: str) -> DataFrame:
+    """`read_files` of contents at hand; null contents give nulls."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"path": batch["path"], "raw_tags": [one(p) for p in batch["path"]]})
+            rows = [_contents_row(p, c, e) if c is not None else (p, None, None, None, None, None) for p, c, e in zip(batch["p"], batch["c"], batch["e"])]
+            yield pd.DataFrame(rows, columns=["path", "raw_tags", "frames", "facts", "art", "art_mime"])
+
+    return files.select(F.col(path).cast("string").alias("p"), F.col(content).alias("c"), F.col(ext).alias("e")).mapInPandas(run, CONTENTS)
 
-    return paths.select("path").mapInPandas(run, "path string, raw_tags map<string,array<string>>")
+
+def read_tags(paths: DataFrame) -> DataFrame:
+    """path and raw_tags (key to values) of audio files; a file that cannot be read has a null map."""
+    return read_files(paths).select("path", "raw_tags")

@@ -47,7 +47,7 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_map(lines: DataFrame) -> DataFrame:
     """A genre map's lines (line_no, line) as entry_id, display, canonical, allowed_norm. Comments and blanks are none."""
-    cells = F.transform(F.split("line", "\t"), F.trim)
+    cells = F.transform(F.split("line", "\t"), lambda x: F.trim(x))
     data = lines.where(~F.col("line").rlike(MAP_COMMENT) & (F.trim("line") != "")).select("line_no", cells.alias("c")).where(F.col("c")[0] != "")
     genres = F.filter(F.slice("c", 2, 1 << 30), lambda g: g != "")
     return data.select(F.col("line_no").alias("entry_id"), F.col("c")[0].alias("display"), F.coalesce(F.try_element_at(genres, F.lit(1)), F.lit("")).alias("canonical"), F.transform(genres, name_key).alias("allowed_norm"))

@@ -3,10 +3,10 @@
 import pytest
 from oracle import DATA, connect, rows_of_spark, rows_of_sql
 
-from shelfmark.plans import catalogue, training
+from shelfmark.plans import catalogue, files, training
 
-QUERIES = catalogue.QUERIES | training.QUERIES
-SQL = catalogue.SQL | training.SQL
+QUERIES = catalogue.QUERIES | files.QUERIES | training.QUERIES
+SQL = catalogue.SQL | files.SQL | training.SQL
 
 
 @pytest.fixture(scope="module")
