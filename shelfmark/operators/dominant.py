@@ -69,3 +69,14 @@ def folder_info(tracks: DataFrame, roles: Roles = MUSIC) -> DataFrame:
         "formats",
         "fmt_bitrate",
     )
+
+
+def sidecar_genre(albums: DataFrame, artist_folder: str = "artist_dir") -> DataFrame:
+    """The genre under which an artist's loose files go: the one that most albums of the artist's folder have.
+
+    albums: root, dir and genre of album folders. One row per folder above them: root, artist_dir, genre; of equally
+    frequent genres the one met first by path.
+    """
+    above = F.regexp_replace("dir", r"/?[^/]*$", "")
+    placed = albums.where(F.col("genre").isNotNull() & F.contains("dir", F.lit("/"))).select("root", above.alias(artist_folder), "dir", "genre")
+    return dominant(placed, ["root", artist_folder], ["genre"], F.col("dir"))

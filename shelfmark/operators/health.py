@@ -66,8 +66,11 @@ def worst(scores: DataFrame, n: int = 5, roles: Roles = MUSIC) -> DataFrame:
     return scores.orderBy("score", *roles.folder).limit(n).select(*roles.folder, "score", "n_files")
 
 
-def digest(tracks: DataFrame, art: DataFrame, layout: str = DEFAULT_LAYOUT, min_kbps: int = 192, roles: Roles = MUSIC) -> DataFrame:
-    """Rows (finding, n) of all lenses from few passes: over tracks once, over folders once, over album keys once."""
+def digest(tracks: DataFrame, art: DataFrame | None, layout: str = DEFAULT_LAYOUT, min_kbps: int = 192, roles: Roles = MUSIC) -> DataFrame:
+    """Rows (finding, n) of all lenses from few passes: over tracks once, over folders once, over album keys once.
+
+    Without a table of art no folder counts as one without art.
+    """
     artist_depth, album_depth = layout_depths(layout)
     stray = stray_class(F.concat_ws("/", roles.dir, roles.filename), artist_depth, album_depth)
     per_track = tracks.agg(
@@ -81,7 +84,8 @@ def digest(tracks: DataFrame, art: DataFrame, layout: str = DEFAULT_LAYOUT, min_
     )
     bucket = gain_bucket(F.col("t"), F.col("a"), F.col("n"))
     covered = F.coalesce("has_cover", F.lit(False)) | F.coalesce("has_embedded", F.lit(False))
-    per_folder = folder.join(art, [*roles.folder], "left").agg(
+    seen = folder.withColumns({"has_cover": F.lit(True), "has_embedded": F.lit(False)}) if art is None else folder.join(art, [*roles.folder], "left")
+    per_folder = seen.agg(
         F.count("*").alias("albums"),
         *(F.count_if(bucket == b).alias(f"gain_{b.lower()}") for b in ("MISSING", "PARTIAL", "NO_ALBUM_GAIN")),
         F.count_if(~covered).alias("no_art"),

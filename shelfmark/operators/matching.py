@@ -122,8 +122,10 @@ def remaining(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key).distinct(), key, "left_anti")
 
 
-def merge_plan(source: DataFrame, target: DataFrame) -> DataFrame:
-    """What merging one listing (rel, size, digest, ext, pixels) into another does with each file: rel, action.
+def merge_plan(source: DataFrame, target: DataFrame, keys: list[str] = ("rel",), on: list[str] | None = None) -> DataFrame:
+    """What merging one listing (keys, size, digest, ext, pixels) into another does with each file: keys, action.
+
+    The two meet by `on`, which is all keys unless told otherwise.
 
     MOVE where the target has no such path; DROP DUPE for equal bytes; KEEP BOTH for sound; of two images the one of
     more pixels stays, of equals the larger, and one that cannot be read gives way; any other file is dropped.
@@ -131,8 +133,9 @@ def merge_plan(source: DataFrame, target: DataFrame) -> DataFrame:
     from shelfmark.functions.layout import IMAGES
     from shelfmark.schema import AUDIO_EXTENSIONS
 
-    there = target.select("rel", F.col("size").alias("t_size"), F.col("digest").alias("t_digest"), F.col("pixels").alias("t_pixels"), F.lit(True).alias("there"))
-    joined = source.join(there, "rel", "left")
+    on = list(on or keys)
+    there = target.select(*on, F.col("size").alias("t_size"), F.col("digest").alias("t_digest"), F.col("pixels").alias("t_pixels"), F.lit(True).alias("there"))
+    joined = source.join(there, on, "left")
     readable, t_readable = F.col("pixels").isNotNull(), F.col("t_pixels").isNotNull()
     wins = F.when(readable & t_readable, F.struct("pixels", "size") > F.struct(F.col("t_pixels"), F.col("t_size"))).when(readable != t_readable, readable).otherwise(F.col("size") > F.col("t_size"))
     action = (
@@ -142,7 +145,7 @@ def merge_plan(source: DataFrame, target: DataFrame) -> DataFrame:
         .when(F.col("ext").isin(*IMAGES), F.when(wins, "REPLACE IMAGE").otherwise("DROP IMAGE"))
         .otherwise("DROP NON-AUDIO")
     )
-    return joined.select("rel", action.alias("action"))
+    return joined.select(*keys, action.alias("action"))
 
 
 def free_suffixes(plan: DataFrame, directory: str, stem: str) -> DataFrame:

@@ -87,3 +87,9 @@ def subtree_counts(files: DataFrame, directory: str = "dir", root: str = "root")
 def looks_like_library(albums: DataFrame) -> bool:
     """Whether any folder of audio lies two levels below the root at least: a guard before plans are applied."""
     return bool(albums.where(F.size(F.filter(F.split("dir", "/"), lambda p: p != "")) >= 2).limit(1).count())
+
+
+def migration_label(action: Column, key: Column, frame: Column) -> Column:
+    """How a report names the migration of an APE field: the field and where it goes."""
+    target = F.when(action == "frame", frame).when(action == "txxx", F.concat(F.lit("TXXX:"), key)).when(action == "cover", "APIC").when(action == "lyrics", "USLT").when(action == "comment", "COMM")
+    return F.concat(key, F.lit(" -> "), F.coalesce(target, F.lit("(not migrated)")))

@@ -162,3 +162,30 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["stats", tracks, "--where", "genre.x"], spark) == 2
     assert cli.main(["audit-strays", tracks, "--where", "rating > 1"], spark) == 2
     assert cli.main(["stats", tracks, "--fail-on-findings"], spark) == 2
+
+
+def test_reports_over_scanned_files(spark, tmp_path):
+    from shelfmark.sinks.tagbytes import with_id3
+
+    for name, fields in (("A/One/1.mp3", {"title": "T1", "artist": "A", "album": "One", "genre": "Jazz", "tracknumber": "1"}), ("A/One/2.mp3", {"title": "T2", "TYER": "1999"}), ("A/Two/x.mp3", {"title": "T3"})):
+        path = tmp_path / "lib" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(with_id3(b"same sound", fields))
+    (tmp_path / "lib/A/One/cover.jpg").write_bytes(b"x")
+    (tmp_path / "lib/list.m3u").write_text("#EXTM3U\nA/One/1.mp3\nA/gone.mp3\n")
+    lib, out = str(tmp_path / "lib"), str(tmp_path / "out")
+
+    def report(mode, *more):
+        assert cli.main([mode, lib, "--scan", "--output", out, *more], spark) == 0, mode
+        return [line.split("\t") for line in open(out).read().splitlines()]
+
+    assert len(report("audit-tags")) == 2
+    assert report("junk-frames") == [["obsolete", "TYER", "1"]]
+    assert [r[0] for r in report("audio-duplicates")] == ["stream"]
+    assert [r[1:] for r in report("missing-art")] == [["A/Two", "none"]]
+    assert report("check-playlists")[0][0].endswith("list.m3u")
+    assert len(report("snapshot")) == 3 and len(report("library")) >= 4
+    assert {r[1] for r in report("health-score")} == {"A/One", "A/Two"} and report("health")
+    tracks = str(tmp_path / "t.parquet")
+    spark.createDataFrame([("r", "d", "f.mp3")], "root string, dir string, filename string").write.parquet(tracks)
+    assert cli.main(["junk-frames", tracks], spark) == 2
