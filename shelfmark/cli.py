@@ -98,6 +98,7 @@ MODES = {
     "health": (None, False, lambda t, a: health.digest(t, album_art(t, a), a.layout, a.min_bitrate)),
     "library": ("track", False, lambda t, a: tree_lines(t, dominant.album_folders(t, a.layout)).select("line")),
     "wings": ("track", False, lambda t, a: wings(dominant.album_folders(t, a.layout)).select("wing", "artist", "album", "genre", "mean_rating", "n_tracks").orderBy("wing", "artist", "album")),
+    "unknown-files": (None, True, lambda t, a: audits.unknown_files(list_files(_scan_only(t, "path").sparkSession, [a.tracks, *a.root], include_hidden=True)).orderBy("ext")),
     "codecs": ("album", True, lambda t, a: audits.mixed_codecs(t).orderBy("root", "dir")),
     "missing-art": (None, True, missing_art),
     "junk-frames": (None, True, junk_frames),

@@ -91,8 +91,3 @@ def ancestors(directory: Column) -> Column:
     """Every folder above a relative folder, the nearest last."""
     parts = folders(directory)
     return F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.when(i < F.size(parts), F.array_join(F.slice(parts, F.lit(1), i), "/")))
-
-
-def relative_path(path: Column, root: Column) -> Column:
-    """A path below its root."""
-    return F.when(F.startswith(path, F.concat(root, F.lit("/"))), F.substring(path, F.length(root) + 2, F.length(path))).otherwise(path)

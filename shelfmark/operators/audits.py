@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from shelfmark.functions.layout import DEFAULT_LAYOUT, layout_depths, stray_class
+from shelfmark.functions.layout import DEFAULT_LAYOUT, is_unknown_sidecar, layout_depths, stray_class
 from shelfmark.operators.stats import filled
-from shelfmark.schema import MUSIC, Roles
+from shelfmark.schema import MUSIC, Roles, is_audio
 
 
 def missing_fields(roles: Roles = MUSIC) -> Column:
@@ -85,6 +85,12 @@ def strays(tracks: DataFrame, layout: str = DEFAULT_LAYOUT, roles: Roles = MUSIC
     return tracks.groupBy(stray_class(path, artist, album).alias("bucket")).agg(F.count("*").alias("n_files"))
 
 
+def unknown_files(listing: DataFrame) -> DataFrame:
+    """Files that are neither sound nor anything routine in an album folder, by extension: ext, n_files, first_path."""
+    odd = listing.where(~is_audio(F.col("filename")) & is_unknown_sidecar(F.lower("ext")))
+    return odd.groupBy(F.lower("ext").alias("ext")).agg(F.count("*").alias("n_files"), F.min(F.concat_ws("/", "root", "dir", "filename")).alias("first_path"))
+
+
 def whole_albums(tracks: DataFrame, rule: Column, roles: Roles = MUSIC) -> DataFrame:
     """All tracks of the folders in which any track satisfies a rule."""
     hit = tracks.where(rule).select(*(F.col(c).alias(f"_{c}") for c in roles.folder)).distinct()

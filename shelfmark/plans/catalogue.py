@@ -12,7 +12,7 @@ from shelfmark.functions.normalize import SQL_FEATURING, sql_deduplicated_tag, s
 from shelfmark.functions.text import trim_all
 from shelfmark.operators import art, audits, authority, dominant, duplicates, health, matching, places, playlists, snapshot, stats, tagplans
 from shelfmark.rules import compile_rule
-from shelfmark.schema import MUSIC, latest_delivery
+from shelfmark.schema import latest_delivery
 from shelfmark.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -184,6 +184,8 @@ def test_reports_over_scanned_files(spark, tmp_path):
     assert [r[0] for r in report("audio-duplicates")] == ["stream"]
     assert [r[1:] for r in report("missing-art")] == [["A/Two", "none"]]
     assert report("check-playlists")[0][0].endswith("list.m3u")
+    (tmp_path / "lib/A/One/odd.xyz").write_text("?")
+    assert [r[:2] for r in report("unknown-files")] == [[".xyz", "1"]]
     assert len(report("snapshot")) == 3 and len(report("library")) >= 4
     assert {r[1] for r in report("health-score")} == {"A/One", "A/Two"} and report("health")
     tracks = str(tmp_path / "t.parquet")
