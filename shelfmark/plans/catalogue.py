@@ -500,7 +500,7 @@ def _albums_to_place(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("folder_plan_classify", T + ALBUM_SQL + r"""
-, p AS (SELECT CASE length(dir) % 5 WHEN 0 THEN trim(regexp_split_to_array(genre, '[;/]')[1]) || '/' || dir WHEN 1 THEN dir || '/CD1' WHEN 2 THEN 'a/b/c/' || dir ELSE dir END AS dir FROM albums WHERE genre IS NOT NULL
+, p AS (SELECT CASE length(dir) % 5 WHEN 0 THEN trim(regexp_split_to_array(genre, '[;/]')[1], ' ') || '/' || dir WHEN 1 THEN dir || '/CD1' WHEN 2 THEN 'a/b/c/' || dir ELSE dir END AS dir FROM albums WHERE genre IS NOT NULL
 ), q AS (SELECT dir, [x FOR x IN string_split(dir, '/') IF x <> ''] AS w FROM p)
 SELECT CASE WHEN len(w) = 0 THEN 'skip' WHEN len(w) = 1 THEN 'loose' WHEN len(w) = 2 OR (len(w) = 3 AND regexp_matches(w[3], 'DISC_NAMES')) THEN 'album'
   WHEN len(w) = 3 OR (len(w) = 4 AND regexp_matches(w[4], 'DISC_NAMES')) THEN 'organized' ELSE 'toodeep' END AS kind, count(*) AS n_dirs FROM q GROUP BY 1""".replace("DISC_NAMES", DISC_NAMES))
@@ -511,7 +511,7 @@ def folder_plan_classify(spark, d):
 def _plan_sql(allow_new_genre: bool, refile: bool) -> str:
     gated = "false" if allow_new_genre else "EXISTS (SELECT 1 FROM vocabulary)"
     return T + ALBUM_SQL + rf"""
-, p AS (SELECT CASE length(dir) % 5 WHEN 0 THEN trim(regexp_split_to_array(genre, '[;/]')[1]) || '/' || dir WHEN 1 THEN dir || '/CD1' WHEN 2 THEN 'a/b/c/' || dir ELSE dir END AS path, genre FROM albums WHERE genre IS NOT NULL
+, p AS (SELECT CASE length(dir) % 5 WHEN 0 THEN trim(regexp_split_to_array(genre, '[;/]')[1], ' ') || '/' || dir WHEN 1 THEN dir || '/CD1' WHEN 2 THEN 'a/b/c/' || dir ELSE dir END AS path, genre FROM albums WHERE genre IS NOT NULL
 ), q AS (SELECT path, [x FOR x IN string_split(path, '/') IF x <> ''] AS w, [trim(x, ' ') FOR x IN regexp_split_to_array(genre, '[;/]') IF trim(x, ' ') <> ''] AS gs FROM p
 ), r AS (SELECT *, len(w) = 2 OR (len(w) = 3 AND regexp_matches(w[3], 'DISC_NAMES')) AS flat, coalesce(gs[1], '') AS tag, array_to_string(gs[2:], '; ') AS ignored FROM q
 ), s AS (SELECT *, NOT flat AND (len(w) = 3 OR (len(w) = 4 AND regexp_matches(w[4], 'DISC_NAMES'))) AS organized,

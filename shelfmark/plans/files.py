@@ -61,8 +61,10 @@ def _flac(row: dict) -> bytes:
     return with_comments(b"fLaC\x80" + len(info).to_bytes(3) + info + b"sound", _fields(row))
 
 
-_CLEAN = ", ".join(rf"nullif(regexp_replace(replace({c}, chr(0), '/'), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'), '') AS {c}" for c in FIELDS)
-_BACK = T + rf" SELECT track_id, {_CLEAN}, CASE WHEN trackno > 0 THEN trackno END AS trackno, CASE WHEN year BETWEEN 1200 AND 2100 THEN year END AS year FROM t"
+def _back(nulls: str) -> str:
+    """What comes back of the tags: nulls as slashes, no white space at the ends, nothing for nothing."""
+    clean = ", ".join(rf"nullif(regexp_replace({nulls.format(c=c)}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g'), '') AS {c}" for c in FIELDS)
+    return T + f" SELECT track_id, {clean}, CASE WHEN trackno > 0 THEN trackno END AS trackno, CASE WHEN year BETWEEN 1200 AND 2100 THEN year END AS year FROM t"
 
 
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
@@ -74,12 +76,13 @@ def _read_back(files: DataFrame) -> DataFrame:
     return rows.select(F.col("path").cast("bigint").alias("track_id"), *FIELDS, "trackno", "year")
 
 
-@query("files_id3_tags", _BACK)
+# an ID3 frame is cut at its nulls, and empty values are none
+@query("files_id3_tags", _back("regexp_replace(trim({c}, chr(0)), '\\x00+', '/', 'g')"))
 def files_id3_tags(spark, d):
     return _read_back(_written(_tagged(spark, d), _mp3, ".mp3"))
 
 
-@query("files_flac_tags", _BACK)
+@query("files_flac_tags", _back("replace({c}, chr(0), '/')"))
 def files_flac_tags(spark, d):
     return _read_back(_written(_tagged(spark, d), _flac, ".flac"))
 
